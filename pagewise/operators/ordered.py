@@ -57,20 +57,21 @@ def with_neighbours(
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
-    position: str,
+    order: Sequence[str],
     value: Column,
     out: str,
-    tie: Sequence[str] = (),
-    bits: int = BLOCK_BITS,
+    block: Column | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before the current one, per key, in order of an INT ``position``.
+    """Sum of ``value`` over the rows before the current one, per key, in the given order.
 
-    Only keys that reach past their first block take part in the join, so for ordinary keys this is one
-    shuffle on (key, block).
+    ``block`` must not decrease along the order and must hold a bounded number of rows per key; by default
+    it is cut from the first order column, an INT position. Only keys that reach past their first block
+    get a base to add, so for ordinary keys this is one shuffle on (key, block).
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block_of(F.col(position), bits)).withColumn("_value", value)
-    inside = Window.partitionBy(*keys, "_block").orderBy(position, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    blocked = df.withColumn("_block", block_of(F.col(order[0])) if block is None else block)
+    blocked = blocked.withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
 
     carry = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,8 +93,8 @@ def running_total(
 
 
 def position_in_key(
-    df: DataFrame, keys: Sequence[str], position: str, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: Sequence[str], position: str, out: str, block: Column | None = None
 ) -> DataFrame:
     """1-based row number per key in order of an INT ``position``."""
-    ranked = running_total(df, keys, position, F.lit(1), out, bits=bits)
+    ranked = running_total(df, keys, [position], F.lit(1), out, block)
     return ranked.withColumn(out, (F.col(out) + 1).cast("int"))
