@@ -16,7 +16,8 @@ _SPACES = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_ASCII_SPACE_RUN = r"[\s\x0b\x1c-\x1f]+"
+# Runs that are not already one plain space.
+_ASCII_SPACE_RUN = r" *[\t-\r\x1c-\x1f][\s\x1c-\x1f]*|  +"
 
 # Blocks whose characters may decompose to ASCII in Latin-script text: Latin-1 to Extended-B,
 # Latin Extended Additional, punctuation, super- and subscripts, letter-like, ligatures, full width.
@@ -42,7 +43,6 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
-_SEVERAL_CLASS = "[" + "".join(char for char, _ in FOLD_SEVERAL) + "]"
 
 
 def strip_text(text: Column) -> Column:
@@ -64,19 +64,35 @@ def needs_ocr(native_text: Column, minimum: int = V.MIN_NATIVE_TEXT_LENGTH) -> C
     return F.coalesce(F.length(native_text), F.lit(0)) < minimum
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def fold_letters(text: Column) -> Column:
+    """Replace every character that stands for one ASCII letter; ASCII text passes untouched."""
+    return F.when(_is_ascii(text), text).otherwise(F.translate(text, FOLD_FROM, FOLD_TO))
+
+
+def drop_rest(letters: Column) -> Column:
+    """Spell out ligatures and the like, then drop what is still outside ASCII."""
+    pairs = F.expr("array(" + ", ".join(f"struct('{c}' AS c, '{r}' AS r)" for c, r in FOLD_SEVERAL) + ")")
+    spelled = F.aggregate(pairs, letters, lambda text, pair: F.replace(text, pair["c"], pair["r"]))
+    return F.when(_is_ascii(letters), letters).otherwise(F.regexp_replace(spelled, r"[^\x00-\x7F]+", ""))
+
+
 def fold_ascii(text: Column) -> Column:
-    """Drop accents and everything else outside ASCII; pure ASCII text passes untouched."""
-    several = text
-    for char, residue in FOLD_SEVERAL:
-        several = F.replace(several, F.lit(char), F.lit(residue))
-    letters = F.when(text.rlike(_SEVERAL_CLASS), several).otherwise(text)
-    folded = F.regexp_replace(F.translate(letters, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]+", "")
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
+    """Drop accents and everything else outside ASCII."""
+    return drop_rest(fold_letters(text))
+
+
+def squeeze(folded: Column) -> Column:
+    """Single spaces, none at the ends."""
+    return F.btrim(F.regexp_replace(folded, _ASCII_SPACE_RUN, " "))
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case, no accents, single spaces."""
-    return F.btrim(F.regexp_replace(fold_ascii(F.lower(text)), _ASCII_SPACE_RUN, " "))
+    return squeeze(fold_ascii(F.lower(text)))
 
 
 def text_hash(norm: Column) -> Column:
@@ -107,8 +123,12 @@ def _marker(norm: Column, pattern: str) -> Column:
 
 
 def page_x_of_y(norm: Column) -> Column:
-    """Page marker such as ``2 de 3``; a pattern whose first hit is out of range gives way to the next."""
-    return F.coalesce(*[_marker(norm, pattern) for pattern in V.PAGE_MARKER_PATTERNS])
+    """Page marker such as ``2 de 3``; a pattern whose first hit is out of range gives way to the next.
+
+    All three patterns need digits around ``de`` or ``/``; one cheap scan for that spares most pages the rest.
+    """
+    markers = F.coalesce(*[_marker(norm, pattern) for pattern in V.PAGE_MARKER_PATTERNS])
+    return F.when(norm.rlike(r"[0-9]\s*(?:de|/)\s*[0-9]"), markers)
 
 
 def is_continuation(norm: Column) -> Column:
@@ -117,13 +137,17 @@ def is_continuation(norm: Column) -> Column:
 
 def looks_like_spreadsheet(text: Column) -> Column:
     """Long text made mostly of one- and two-letter tokens."""
-    tokens = F.split(strip_text(text), _SPACE_CLASS + "+")
-    short = F.size(F.filter(tokens, lambda token: F.length(token) <= 2))
-    return (
-        F.when(F.coalesce(F.length(text), F.lit(0)) < V.SPREADSHEET_MIN_LENGTH, False)
-        .when(F.size(tokens) < V.SPREADSHEET_MIN_TOKENS, False)
-        .otherwise(short / F.size(tokens) > V.SPREADSHEET_SHORT_SHARE)
-    )
+
+    def mostly_short(tokens: Column) -> Column:
+        short = F.size(F.filter(tokens, lambda token: F.length(token) <= 2))
+        return (F.size(tokens) >= V.SPREADSHEET_MIN_TOKENS) & (
+            short / F.size(tokens) > V.SPREADSHEET_SHORT_SHARE
+        )
+
+    # The one-element array lets the tokens be computed once and used three times.
+    split = F.array(F.split(strip_text(text), _SPACE_CLASS + "+"))
+    long_enough = F.coalesce(F.length(text), F.lit(0)) >= V.SPREADSHEET_MIN_LENGTH
+    return F.when(long_enough, F.exists(split, mostly_short)).otherwise(False)
 
 
 def extract_supplier(text: Column, pattern: str | None) -> Column:

@@ -7,6 +7,7 @@ The rule dictionary is a plan-time parameter. Its patterns are ranked once on th
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,9 +71,14 @@ def rules_table(spark, rules: tuple[Rule, ...] = V.SHIPPED_RULES) -> DataFrame:
 
 
 def with_text(pages: DataFrame) -> DataFrame:
-    """Add the best text of each page and its normalised form."""
-    return pages.withColumn("text", T.best_text(F.col("ocr_text"), F.col("native_text"))).withColumn(
-        "norm", T.normalize_text(F.col("text"))
+    """Add the best text of each page and its normalised form, one step per column so that each is
+    computed once."""
+    return (
+        pages.withColumn("text", T.best_text(F.col("ocr_text"), F.col("native_text")))
+        .withColumn("norm", F.lower("text"))
+        .withColumn("norm", T.fold_letters(F.col("norm")))
+        .withColumn("norm", T.drop_rest(F.col("norm")))
+        .withColumn("norm", T.squeeze(F.col("norm")))
     )
 
 
@@ -135,9 +141,10 @@ def page_signals(
     hit, text, norm = F.col("hit"), F.col("text"), F.col("norm")
 
     def of_rank(values: list, kind: str) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), hit)
+        return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), hit)
 
-    scored = with_text(pages).withColumn("hit", _winner(norm, ranked))
+    known = pages if "norm" in pages.columns else with_text(pages)
+    scored = known.withColumn("hit", _winner(norm, ranked))
     return scored.select(
         "doc_id",
         "page_number",

@@ -119,8 +119,11 @@ def _step(position: Column, next_of_state: Column) -> Column:
     return position.bitwiseAND(F.lit(~STATE_MASK)) + next_of_state
 
 
-def _page_step(position: Column, move: Column) -> Column:
-    moves = F.array(*[F.lit(value) for value in PAGE_MOVES])
+def _moves() -> Column:
+    return F.expr(f"array({', '.join(map(str, PAGE_MOVES))})")
+
+
+def _page_step(position: Column, move: Column, moves: Column) -> Column:
     return _step(position, F.get(moves, move * STATES + position.bitwiseAND(F.lit(STATE_MASK))))
 
 
@@ -147,10 +150,11 @@ def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     placed = blocks.join(entries, ["doc_id", "block"], "left").withColumn(
         "entry", F.coalesce("entry", F.lit(0).cast("bigint"))
     )
+    moves = _moves()
     trail = _trail(
         F.col("items"),
         F.col("entry").bitwiseAND(F.lit(STATE_MASK)).cast("int"),
-        lambda position, item: _page_step(position, item["move"]),
+        lambda position, item: _page_step(position, item["move"], moves),
     )
     started = F.shiftright(F.col("entry"), 3)
     exploded = placed.select(
@@ -170,10 +174,11 @@ def _block_entries(blocks: DataFrame) -> DataFrame:
     """Where each later block of a long document starts: ``8 * groups so far + state``."""
     tails = blocks.filter(F.col("block") > 0)
     long_docs = tails.select("doc_id").distinct()
+    moves = _moves()
     ends = F.transform(
         F.sequence(F.lit(0), F.lit(STATE_MASK)),
         lambda state: F.aggregate(
-            F.col("items"), state, lambda position, item: _page_step(position, item["move"])
+            F.col("items"), state, lambda position, item: _page_step(position, item["move"], moves)
         ),
     )
     chained = (
@@ -240,8 +245,7 @@ def should_group_pairwise(classified: DataFrame) -> DataFrame:
     verdict = F.when((F.col("verdict") == FITTING) & ~F.col("same_multipage"), ALWAYS_SPLIT).otherwise(
         F.col("verdict")
     )
-    moves = F.array(*[F.lit(value) for value in PAGE_MOVES])
-    landing = F.get(moves, (verdict * STATES + F.col("facts")) * STATES + F.col("prev_facts"))
+    landing = F.get(_moves(), (verdict * STATES + F.col("facts")) * STATES + F.col("prev_facts"))
     return pairs.select("doc_id", "page_number", (landing < STATES).alias("attaches"))
 
 
