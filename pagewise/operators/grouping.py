@@ -252,38 +252,49 @@ def should_group_pairwise(classified: DataFrame) -> DataFrame:
 def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
     """Violations of "pages 1..N appear in exactly one group", as (doc_id, violation, page_number).
 
-    ``documents`` holds (doc_id, total_pages). Counting is keyed by page, so a long document spreads over
-    all tasks and repeated pages are combined before the shuffle.
+    ``documents`` holds (doc_id, total_pages). Covered and expected pages are counted in one aggregate keyed
+    by page, so a long document spreads over all tasks and repeated pages are combined before the shuffle.
+    A document without any group is one violation, not one per page.
     """
-    valid = groups.filter(F.col("start_page") <= F.col("end_page"))
-    inverted = groups.filter(F.col("start_page") > F.col("end_page")).select(
-        "doc_id", F.lit("inverted").alias("violation"), F.col("start_page").alias("page_number")
-    )
-    empty = documents.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", F.lit("no_groups").alias("violation"), F.lit(None).cast("int").alias("page_number")
-    )
-    pages = valid.select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page_number"))
-    counted = pages.groupBy("doc_id", "page_number").agg(F.count("*").alias("groups"))
-    expected = (
-        documents.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
-        .filter("total_pages >= 1")
-        .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page_number"))
-        .withColumn("expected", F.lit(True))
+    forward = F.col("start_page") <= F.col("end_page")
+    covered = groups.select(
+        "doc_id",
+        F.when(forward, "covered").otherwise("inverted").alias("mark"),
+        F.explode(
+            F.when(forward, F.sequence("start_page", "end_page")).otherwise(F.array("start_page"))
+        ).alias("page_number"),
     )
-    compared = counted.join(expected, ["doc_id", "page_number"], "full").select(
+    grouped = groups.select("doc_id").distinct().withColumn("has_groups", F.lit(True))
+    asked = documents.join(grouped, "doc_id", "left")
+    pages = F.when(F.col("total_pages") >= 1, F.sequence(F.lit(1), F.greatest("total_pages", F.lit(1))))
+    expected = asked.select(
         "doc_id",
-        "page_number",
-        F.when(F.col("groups").isNull(), "missing")
-        .when(F.col("groups") > 1, "overlap")
-        .when(F.col("expected").isNull(), "extra")
-        .alias("violation"),
+        F.when(F.col("has_groups"), "expected").otherwise("no_groups").alias("mark"),
+        F.explode(
+            F.when(F.col("has_groups"), pages).otherwise(F.array(F.lit(None).cast("int")))
+        ).alias("page_number"),
     )
-    return (
-        compared.filter(F.col("violation").isNotNull())
-        .select("doc_id", "violation", "page_number")
-        .unionByName(inverted)
-        .unionByName(empty)
+    counted = (
+        covered.unionByName(expected)
+        .groupBy("doc_id", "page_number")
+        .agg(
+            F.count_if(F.col("mark") == "covered").alias("covered"),
+            F.count_if(F.col("mark") == "expected").alias("expected"),
+            F.count_if(F.col("mark") == "inverted").alias("inverted"),
+            F.count_if(F.col("mark") == "no_groups").alias("no_groups"),
+        )
+    )
+    missing = (F.col("covered") == 0) & (F.col("expected") > 0)
+    found = F.array_compact(
+        F.array(
+            F.when(missing, "missing"),
+            F.when(F.col("covered") > 1, "overlap"),
+            F.when((F.col("covered") == 1) & (F.col("expected") == 0), "extra"),
+            F.when(F.col("inverted") > 0, "inverted"),
+            F.when(F.col("no_groups") > 0, "no_groups"),
+        )
     )
+    return counted.select("doc_id", F.explode(found).alias("violation"), "page_number")
 
 
 def group_pages_range(groups: DataFrame, pages: DataFrame) -> DataFrame:

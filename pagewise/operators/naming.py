@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from pagewise.functions import text as T
 from pagewise.functions import values as V
 from pagewise.operators.ordered import position_in_key
+from pagewise.session import cut_lineage
 
 
 def filenames(groups: DataFrame) -> DataFrame:
-    """Add ``filename``: sequence, type, supplier and a copy number for repeated type and supplier."""
-    named = groups.withColumn("type_slug", T.slugify(F.col("doc_type"))).withColumn(
+    """Add ``filename``: sequence, type, supplier and a copy number for repeated type and supplier.
+
+    Counting copies passes twice over the groups, so they are stored first; they are small beside the text.
+    """
+    named = cut_lineage(groups).withColumn("type_slug", T.slugify(F.col("doc_type"))).withColumn(
         "name_key", F.coalesce(F.nullif(F.col("supplier"), F.lit("")), F.lit("none"))
     )
     counted = position_in_key(named, ["doc_id", "type_slug", "name_key"], "group_seq", "copy")

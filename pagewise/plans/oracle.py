@@ -152,6 +152,13 @@ _SUPPLIER_CASE = "case rule_type " + " ".join(
 CENT = "decimal(10,2)"
 
 
+def refund_share(claw: str) -> str:
+    """Cents of ``max_money * claw / credits_mb``, halves up, in whole numbers."""
+    return (
+        f"cast((cast(max_money * 100 as bigint) * {claw} * 2 + credits_mb) // (2 * credits_mb) as bigint) * cast(0.01 as decimal(3,2))"
+    )
+
+
 def cents(x: str) -> str:
     return f"cast(cast(floor({x}) as bigint) * cast(0.01 as decimal(3,2)) as {CENT})"
 
@@ -352,10 +359,10 @@ VIEWS.update(
         "case when pack_left <= 0 or refunded_amount_brl >= amount_brl then 'Transação já reembolsada.' end as r2, "
         "case when pstatus <> '' and pstatus <> 'approved' then 'Status no Mercado Pago: ' || pstatus || '.' end as r5 from terms",
         "preview0": "select *, least(available_mb, pack_left) as claw from standing",
-        "preview": f"select *, cast(case when pack_left <= 0 then 0 when claw = pack_left then max_money else round(cast(max_money * claw as decimal(24,8)) / credits_mb, 2) end as {CENT}) as money from preview0",
+        "preview": f"select *, cast(case when pack_left <= 0 then 0 when claw = pack_left then max_money else {refund_share('claw')} end as {CENT}) as money from preview0",
         "refund_seq": "select *, row_number() over (partition by user_id order by id) as seq from standing where r1 is null and r2 is null and r5 is null and (inv or max_money > 0)",
         "refund_walk": "select user_id, cast(0 as bigint) as seq, max(available_mb) as rest, cast(null as bigint) as id, cast(0 as integer) as claw, false as ok from refund_seq group by user_id "
-        "union all select user_id, seq, case when ok then rest - claw else rest end, id, claw, ok from (select *, claw > 0 and (inv or claw = pack_left or round(cast(max_money * claw as decimal(24,8)) / credits_mb, 2) > 0) as ok "
+        "union all select user_id, seq, case when ok then rest - claw else rest end, id, claw, ok from (select *, claw > 0 and (inv or claw = pack_left or " + refund_share("claw") + " > 0) as ok "
         "from (select r.*, w.rest, least(w.rest, r.pack_left) as claw from refund_walk w join refund_seq r on r.user_id = w.user_id and r.seq = w.seq + 1))",
         # lines and corrections
         "laid": "select doc_id, cast((i - 1) // 20 + 1 as integer) as page_number, cast((i - 1) % 20 as integer) as line_ord, 40.0 as x0, 30.0 + ((i - 1) % 20) * 36.0 as y0, 41.0 + least(length(line), 80) * 6.0 as x1, 44.0 + ((i - 1) % 20) * 36.0 as y1, line as text from lines",
@@ -611,7 +618,7 @@ BODIES: dict[str, str] = {
     "refund_preview": f"select id as transaction_id, user_id, payment_id, method as payment_method, amount_brl, fee as fee_brl, deduct_fee, refunded_amount_brl as already_refunded_amount_brl, refunded_credits_mb as already_refunded_credits_mb, available_mb, credits_mb, claw as credits_to_claw_mb, "
     f"cast(case when inv then 0 else money end as {CENT}) as refund_amount_brl, inv as is_invoice, not inv and money > 0 as mp_money_refund, rs = '' as can_refund, rs as block_reasons from (select *, concat_ws(' ', r1, r2, case when claw <= 0 then '{V.REASON_NO_CREDITS}' end, case when not inv and money <= 0 then '{V.REASON_NO_MONEY}' end, r5) as rs from preview)",
     "refund_apply": f"select id as request_id, id as transaction_id, user_id, cast(claw as bigint) as credits_clawed_mb, m as refund_amount_brl, case when refunded_credits_mb + claw >= credits_mb then 'refunded' else 'partially_refunded' end as payment_status, cast(refunded_amount_brl + m as {CENT}) as refunded_amount_brl, "
-    f"cast(refunded_credits_mb + claw as bigint) as refunded_credits_mb, fee as fee_brl, cast(amount_brl - fee as {CENT}) as net_amount_brl, cast(rest as bigint) as user_available_mb from (select t.*, w.claw, w.rest, cast(case when inv then 0 when w.claw = pack_left then max_money else round(cast(max_money * w.claw as decimal(24,8)) / credits_mb, 2) end as {CENT}) as m "
+    f"cast(refunded_credits_mb + claw as bigint) as refunded_credits_mb, fee as fee_brl, cast(amount_brl - fee as {CENT}) as net_amount_brl, cast(rest as bigint) as user_available_mb from (select t.*, w.claw, w.rest, cast(case when inv then 0 when w.claw = pack_left then max_money else {refund_share('w.claw')} end as {CENT}) as m "
     "from refund_walk w join terms t on t.id = w.id where w.ok)",
     "constraint_checks": "select 'users_credits_valid' as check_name, count(*) as violations from people where used_credits_mb < 0 or used_credits_mb > total_credits_mb union all select 'users_role_known', count(*) from people where role not in ('user', 'admin') union all select 'users_email_present', count(*) from people where email is null "
     "union all select 'transactions_amount_not_negative', count(*) from bought where amount_brl < 0 union all select 'transactions_credits_positive', count(*) from bought where credits_mb <= 0 union all select 'jobs_size_positive', count(*) from work where file_size_mb <= 0 union all select 'jobs_pages_positive', count(*) from work where pages_count <= 0 "

@@ -21,7 +21,7 @@ from pagewise.operators import posts as B
 from pagewise.operators import quality as Q
 from pagewise.operators import refunds as R
 from pagewise.plans import reports as A
-from pagewise.session import SETTINGS, shared_folder
+from pagewise.session import SETTINGS, cut_lineage, shared_folder
 from pagewise.sources import sinks as K
 from pagewise.sources import tables as S
 from pagewise.streaming import jobs as ST
@@ -446,7 +446,7 @@ def pick_supplier(spark, folder):
 @query
 def coverage_check(spark, folder):
     """Coverage of deliberately damaged groups: dropped, widened, inverted, and documents without any."""
-    groups = _groups(spark, folder).filter((F.col("doc_id") % 17 != 3) & ~((F.col("doc_id") % 5 == 1) & (F.col("group_seq") == 2)))
+    groups = cut_lineage(_groups(spark, folder)).filter((F.col("doc_id") % 17 != 3) & ~((F.col("doc_id") % 5 == 1) & (F.col("group_seq") == 2)))
     damaged = groups.withColumn(
         "end_page",
         F.when((F.col("doc_id") % 7 == 2) & (F.col("group_seq") % 3 == 1), F.col("end_page") + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewise.operators.classify import cache_rows
 from pagewise.operators.grouping import coverage_check, group_pages_range
+from pagewise.session import cut_lineage
 
 INDEX_FORMATS = ("csv", "parquet")
 CACHE_SCHEMA = (
@@ -30,6 +31,7 @@ def write_index(index: DataFrame, path: str, kind: str = "csv") -> None:
 
 def document_rows(named: DataFrame, pages: DataFrame, buckets: int = 64) -> DataFrame:
     """Page rows of every output document, for documents whose groups cover all pages exactly once."""
+    named = cut_lineage(named)
     totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
     broken = coverage_check(named, totals).select("doc_id").distinct()
     whole = named.join(broken, "doc_id", "left_anti").select("doc_id", "group_seq", "filename", "start_page", "end_page")

@@ -19,6 +19,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table stored as fewer splits than there are cores. Large tables pass as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages_from_text(documents: DataFrame) -> DataFrame:
     """Page rows from documents held as one text each: every line is a page."""
     return documents.select(
@@ -82,7 +88,8 @@ def _cents(value: Column) -> Column:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of ``documents``; every third weak page carries OCR text."""
-    pages = pages_from_text(read_table(spark, folder, "documents"))
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    pages = pages_from_text(spread(documents, "doc_id"))
     scanned = T.needs_ocr(F.col("native_text")) & (F.col("page_number") % 3 == 0)
     return pages.withColumn("ocr_text", F.when(scanned, F.concat(F.lit("verso "), "native_text")))
 
