@@ -135,7 +135,7 @@ def _by_rounds(requests: DataFrame, key: str, order: Sequence[str], rows: int, r
                 .alias("charged"),
             )
         )
-        open_rows = placed.filter(here > until).select(
+        open_rows = placed.filter(F.col("turn").isNotNull() & (here > until)).select(
             *columns, "part", "pos", F.col("turn.left").alias("balance")
         )
         if open_rows.isEmpty():

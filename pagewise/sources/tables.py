@@ -131,7 +131,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     metadata = F.when(
         invoice, F.concat(F.lit('{"source":"admin_manual"'), note, F.lit("}"))
     ).otherwise(F.concat(F.lit('{"package_id":"'), package, F.lit('","source":"mercadopago_fulfillment"}')))
-    rows = read_table(spark, folder, "orders").select(
+    rows = spread(read_table(spark, folder, "orders"), "o_orderkey").select(
         key.alias("id"),
         F.col("o_custkey").alias("user_id"),
         amount.alias("amount_brl"),
@@ -322,7 +322,7 @@ def notices_from(orders: DataFrame) -> DataFrame:
 
 
 def notices(spark: SparkSession, folder: str) -> DataFrame:
-    return notices_from(read_table(spark, folder, "orders"))
+    return notices_from(spread(read_table(spark, folder, "orders"), "o_orderkey"))
 
 
 def post_edits(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,7 +348,8 @@ LINES_PER_PAGE = 20
 
 def page_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of ``documents`` laid out on pages of twenty lines, 612 by 792 points."""
-    lines = read_table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     ord_ = (F.col("i") % LINES_PER_PAGE).cast("int")
     top = F.lit(30.0) + ord_ * 36.0
     return lines.select(
