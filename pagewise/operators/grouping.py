@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagewise.functions import text as T
 from pagewise.functions import values as V
 from pagewise.operators.ordered import BLOCK_BITS, block_of, with_neighbours
+from pagewise.session import cut_lineage
 
 # Facts about the open group, one bit each.
 HAS_SATELLITE, HAS_INVOICE, HAS_CHAIN = 1, 2, 4
@@ -139,9 +140,13 @@ def _trail(items: Column, start: Column, step) -> Column:
 
 
 def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Every classified page with ``group_seq``, its document's group number counted from 1."""
+    """Every classified page with ``group_seq``, its document's group number counted from 1.
+
+    The classified rows are stored first: chaining the blocks of long documents reads them again, and what is
+    read again must be these small rows and not the page text.
+    """
     columns = classified.columns
-    known = classified.filter(F.col("doc_id").isNotNull() & F.col("page_number").isNotNull())
+    known = cut_lineage(classified.filter(F.col("doc_id").isNotNull() & F.col("page_number").isNotNull()))
     features = group_features(known, keep_block=True, bits=bits)
     payload = F.struct("page_number", "move", *[c for c in columns if c not in ("doc_id", "page_number")])
     blocks = features.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(payload)).alias("items"))
