@@ -29,30 +29,24 @@ def write_index(index: DataFrame, path: str, kind: str = "csv") -> None:
         writer.parquet(path)
 
 
-def document_rows(named: DataFrame, pages: DataFrame, buckets: int = 64) -> DataFrame:
+def document_rows(named: DataFrame, pages: DataFrame) -> DataFrame:
     """Page rows of every output document, for documents whose groups cover all pages exactly once."""
     named = cut_lineage(named)
     totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
     broken = coverage_check(named, totals).select("doc_id").distinct()
     whole = named.join(broken, "doc_id", "left_anti").select("doc_id", "group_seq", "filename", "start_page", "end_page")
-    return group_pages_range(whole, pages).withColumn("bucket", F.pmod(F.hash("doc_id", "group_seq"), F.lit(buckets)))
+    return group_pages_range(whole, pages)
 
 
-def write_documents(named: DataFrame, pages: DataFrame, path: str, buckets: int = 64) -> None:
+def write_documents(named: DataFrame, pages: DataFrame, path: str) -> None:
     """Write the separated documents, replacing earlier output.
 
-    One output document is the rows of one (doc_id, filename). Folders are buckets, not documents, so the
-    number of files follows the data volume and not the number of documents; within a file the rows of a
-    document lie together.
+    One output document is the rows of one (doc_id, filename), lying together and in page order. Files follow
+    the data volume, not the number of documents: small partitions are merged, and one that a very long
+    document fills is split over several tasks.
     """
-    rows = document_rows(named, pages, buckets)
-    (
-        rows.repartition("bucket", "doc_id", "group_seq")
-        .sortWithinPartitions("bucket", "doc_id", "group_seq", "page_number")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    rows = document_rows(named, pages).hint("rebalance", F.col("doc_id"), F.col("group_seq"))
+    rows.sortWithinPartitions("doc_id", "group_seq", "page_number").write.mode("overwrite").parquet(path)
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:

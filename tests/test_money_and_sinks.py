@@ -119,7 +119,7 @@ def test_documents_are_whole_or_absent(spark, tmp_path):
     named = spark.createDataFrame(
         [(1, 1, "a.pdf", 1, 2), (1, 2, "b.pdf", 3, 3), (2, 1, "c.pdf", 1, 2)], "doc_id BIGINT, group_seq INT, filename STRING, start_page INT, end_page INT"
     )
-    K.write_documents(named, pages, str(tmp_path / "out"), 4)
+    K.write_documents(named, pages, str(tmp_path / "out"))
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id", "page_number").collect()
     assert [(r.doc_id, r.filename, r.page_number) for r in rows] == [(1, "a.pdf", 1), (1, "a.pdf", 2), (1, "b.pdf", 3)]
 
