@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
-from pagewise.operators.ordered import BLOCK_BITS, block_of, with_neighbours
+from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, with_neighbours
 from pagewise.session import cut_lineage
 
 # Facts about the open group, one bit each.
@@ -261,26 +261,22 @@ def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
     by page, so a long document spreads over all tasks and repeated pages are combined before the shuffle.
     A document without any group is one violation, not one per page.
     """
-    forward = F.col("start_page") <= F.col("end_page")
-    covered = groups.select(
-        "doc_id",
-        F.when(forward, "covered").otherwise("inverted").alias("mark"),
-        F.explode(
-            F.when(forward, F.sequence("start_page", "end_page")).otherwise(F.array("start_page"))
-        ).alias("page_number"),
+    start, end = F.col("start_page"), F.col("end_page")
+    covered = explode_range(groups.select("doc_id", "start_page", "end_page"), start, end, "page_number").select(
+        "doc_id", F.lit("covered").alias("mark"), "page_number"
     )
-    grouped = groups.select("doc_id").distinct().withColumn("has_groups", F.lit(True))
-    asked = documents.join(grouped, "doc_id", "left")
-    pages = F.when(F.col("total_pages") >= 1, F.sequence(F.lit(1), F.greatest("total_pages", F.lit(1))))
-    expected = asked.select(
-        "doc_id",
-        F.when(F.col("has_groups"), "expected").otherwise("no_groups").alias("mark"),
-        F.explode(
-            F.when(F.col("has_groups"), pages).otherwise(F.array(F.lit(None).cast("int")))
-        ).alias("page_number"),
+    inverted = groups.filter(start > end).select(
+        "doc_id", F.lit("inverted").alias("mark"), start.alias("page_number")
+    )
+    asked = documents.join(groups.select("doc_id").distinct().withColumn("has_groups", F.lit(True)), "doc_id", "left")
+    # Page 0 stands for a document without groups until the end.
+    first, last = F.when(F.col("has_groups"), 1).otherwise(0), F.when(F.col("has_groups"), F.col("total_pages")).otherwise(0)
+    expected = explode_range(asked, first, last, "page_number").select(
+        "doc_id", F.when(F.col("has_groups"), "expected").otherwise("no_groups").alias("mark"), "page_number"
     )
     counted = (
-        covered.unionByName(expected)
+        covered.unionByName(inverted)
+        .unionByName(expected)
         .groupBy("doc_id", "page_number")
         .agg(
             F.count_if(F.col("mark") == "covered").alias("covered"),
@@ -299,7 +295,9 @@ def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
             F.when(F.col("no_groups") > 0, "no_groups"),
         )
     )
-    return counted.select("doc_id", F.explode(found).alias("violation"), "page_number")
+    return counted.select("doc_id", F.explode(found).alias("violation"), "page_number").withColumn(
+        "page_number", F.when(F.col("violation") != "no_groups", F.col("page_number"))
+    )
 
 
 def group_pages_range(groups: DataFrame, pages: DataFrame) -> DataFrame:

@@ -57,22 +57,33 @@ def split_requests(pages: DataFrame, requests: DataFrame) -> DataFrame:
 
     No ranges means one per page.
     """
-    sized = requests.join(_page_counts(pages), "doc_id")
-    each = F.transform(
-        F.sequence(F.lit(1), F.col("total_pages")),
-        lambda page: F.struct(page.alias("start_page"), page.alias("end_page")),
+    blank = F.coalesce("ranges", F.lit("")) == ""
+    single = (
+        pages.select("doc_id", "page_number")
+        .join(requests.filter(blank).select("doc_id"), "doc_id", "left_semi")
+        .select(
+            "doc_id",
+            F.col("page_number").alias("part"),
+            F.col("page_number").alias("start_page"),
+            F.col("page_number").alias("end_page"),
+            F.lit(None).cast("string").alias("error"),
+        )
+    )
+    spread = (
+        requests.filter(~blank)
+        .join(_page_counts(pages), "doc_id")
+        .select("doc_id", "total_pages", F.posexplode_outer(parse_ranges(F.col("ranges"))).alias("part", "pair"))
     )
-    given = F.when(F.coalesce("ranges", F.lit("")) == "", each).otherwise(parse_ranges(F.col("ranges")))
-    spread = sized.select("doc_id", "total_pages", F.posexplode_outer(given).alias("part", "pair"))
     start, end = F.col("pair.start_page"), F.col("pair.end_page")
     bad = start.isNull() | end.isNull() | (start < 1) | (end < start) | (end > F.col("total_pages"))
-    return spread.select(
+    given = spread.select(
         "doc_id",
         F.coalesce(F.col("part") + 1, F.lit(1)).alias("part"),
         start.alias("start_page"),
         end.alias("end_page"),
         F.when(bad, "invalid_range").alias("error"),
     )
+    return single.unionByName(given)
 
 
 def split_ranges(pages: DataFrame, requests: DataFrame) -> DataFrame:

@@ -20,6 +20,18 @@ def block_of(position: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(position, bits)
 
 
+def explode_range(df: DataFrame, start: Column, end: Column, out: str, bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per number from ``start`` to ``end``, block by block, so no array is longer than a block.
+
+    Ranges with a null end or with ``start > end`` give no row.
+    """
+    blocks = F.when(start <= end, F.sequence(block_of(start, bits), block_of(end, bits)))
+    spread = df.withColumns({"_start": start, "_end": end, "_block": F.explode(blocks)})
+    low = F.greatest(F.col("_start"), F.shiftleft(F.col("_block"), bits))
+    high = F.least(F.col("_end"), F.shiftleft(F.col("_block"), bits) + (1 << bits) - 1)
+    return spread.withColumn(out, F.explode(F.sequence(low, high))).drop("_start", "_end", "_block")
+
+
 def in_neighbour_blocks(df: DataFrame, page: str = "page_number", bits: int = BLOCK_BITS) -> DataFrame:
     """Give each row its ``block``; rows at a block edge are also lent to the block next door.
 
