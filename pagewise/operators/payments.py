@@ -113,10 +113,6 @@ def parse_payments(notices: DataFrame) -> DataFrame:
     )
 
 
-def _first_final(present: Column) -> Column:
-    return F.when(present, F.col("ts"))
-
-
 def fulfil_payments(parsed: DataFrame) -> DataFrame:
     """One row per payment after all its notices, in notice order.
 

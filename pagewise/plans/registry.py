@@ -624,9 +624,7 @@ def transactions_enriched(spark, folder):
 @query
 def user_dashboard_join(spark, folder):
     """Users with every job, users without jobs included."""
-    people = S.users(spark, folder).select(F.col("id").alias("user_id"), "email")
-    work = S.jobs(spark, folder).select("user_id", F.col("id").alias("job_id"), "status", "file_size_mb")
-    return people.join(work, "user_id", "left")
+    return A.users_with_jobs(S.users(spark, folder), S.jobs(spark, folder))
 
 
 @query

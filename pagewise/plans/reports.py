@@ -42,6 +42,18 @@ def jobs_with_email(jobs: DataFrame, users: DataFrame, limit: int | None = None)
     return with_email(newest(jobs, limit), users, "user_id", "user_email")
 
 
+def users_with_jobs(users: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every user with each of their jobs, users without jobs once.
+
+    Stated as an inner join plus the users left over: adaptive execution can split a user with very many
+    jobs in an inner join, but not on the optional side of an outer one.
+    """
+    people = users.select(F.col("id").alias("user_id"), "email")
+    work = jobs.select("user_id", F.col("id").alias("job_id"), "status", "file_size_mb")
+    idle = people.join(jobs.select("user_id").distinct(), "user_id", "left_anti")
+    return people.join(work, "user_id").unionByName(idle, allowMissingColumns=True)
+
+
 def grants_enriched(grants: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
     rows = newest(grants, limit)
     return with_email(with_email(rows, users, "user_id", "user_email"), users, "granted_by", "granted_by_email")
