@@ -38,7 +38,7 @@ def engine():
 
 
 def test_every_query_has_reference_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.named_queries()) == set(entry.reference_sql())
 
 
 @pytest.mark.parametrize("name", CHECKED)
