@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(BATCH_SETTING, str(rows))
 
 
+def shipped(module: str) -> None:
+    """Send the functions of ``module`` to the workers as they are: the package need not be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once per row, also where ``body`` uses it many times."""
     return F.transform(F.array(value), body)[0]
