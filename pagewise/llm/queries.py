@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewise.llm import quality
+from pagewise.llm import chosenpath, packing, quality
 from pagewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op3_chosen_path": lambda spark, folder: chosenpath.near_duplicates(table(spark, folder, "documents")),
+        "op8_nnls_packing": lambda spark, folder: packing.pack(table(spark, folder, "documents")),
         "op10_quality_cascade": lambda spark, folder: quality.quality_digest(table(spark, folder, "documents")),
     }
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op10_quality_cascade": quality.ORACLE}
+    return {"op3_chosen_path": chosenpath.ORACLE, "op10_quality_cascade": quality.ORACLE}
