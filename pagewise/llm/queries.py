@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewise.llm import chosenpath, packing, quality
+import corpus_pipeline
+from pagewise.llm import chosenpath, mixing, packing, pii, quality
 from pagewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,9 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_temperature_mixing": lambda spark, folder: mixing.mixing_digest(table(spark, folder, "documents")),
         "op3_chosen_path": lambda spark, folder: chosenpath.near_duplicates(table(spark, folder, "documents")),
+        "op4_feistel_pseudonyms": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents")),
         "op8_nnls_packing": lambda spark, folder: packing.pack(table(spark, folder, "documents")),
         "op10_quality_cascade": lambda spark, folder: quality.quality_digest(table(spark, folder, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
