@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pagewise.llm import chosenpath, licenses, mixing, packing, pii, quality
+from pagewise.llm import chosenpath, licenses, mixing, packing, pii, quality, sitetree, warc
 from pagewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,10 @@ def llm_queries() -> dict[str, Query]:
         "op1_temperature_mixing": lambda spark, folder: mixing.mixing_digest(table(spark, folder, "documents")),
         "op3_chosen_path": lambda spark, folder: chosenpath.near_duplicates(table(spark, folder, "documents")),
         "op4_feistel_pseudonyms": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents")),
+        "op5_site_style_tree": lambda spark, folder: sitetree.main_text(table(spark, folder, "pages")),
         "op7_licence_scan": lambda spark, folder: licenses.licence_digest(table(spark, folder, "documents")),
         "op8_nnls_packing": lambda spark, folder: packing.pack(table(spark, folder, "documents")),
+        "op9_warc_archives": lambda spark, folder: warc.archive_digest(table(spark, folder, "pages")),
         "op10_quality_cascade": lambda spark, folder: quality.quality_digest(table(spark, folder, "documents")),
         "pipeline": corpus_pipeline.run,
     }
