@@ -3,13 +3,15 @@
 A document is the set of its 5-word shingles, seen through ``SIZE`` minwise hash values. A tree starts with all sets in
 one node. Each node draws ``BRANCHES`` minwise coordinates at random; a child holds the sets that agree in one of them.
 Nodes of at most ``LEAF`` sets are compared exhaustively. With two branches a pair of similarity s meets in a child of a
-node with 1 - (1 - s)^2, and on paths of any length with the fixed point of that chance; independent trees repeat this
+node with chance 1 - (1 - s)^2, and on paths of any length with the fixed point of that chance; independent trees repeat this
 until the target recall is met (``trees_for``).
 
-Nodes that stay large after ``DEPTH`` levels are dense: their sets resemble each other. There the set nearest to the
-node's modal minwise values is the pivot, and every member is compared with it. Members linked to the pivot are
-connected already, so only the others are still compared, with every member: no node emits all its pairs unless its
-sets are unlinked. Every link is confirmed on the full sets.
+Nodes that stay large are dense: their sets resemble each other. At some levels the set of a large node nearest to its modal
+minwise values is its pivot, and every member is compared with it. The sets linked to a pivot are its ball and connected
+already, so pairs inside a ball are not looked at again: a node is finished when at most ``LEAF`` of its sets lie outside its
+largest ball, by comparing those with all others. Work grows with the members of a node, not with their pairs; only sets
+that resemble each other down to the last level and are linked to no pivot are still compared exhaustively. Every link is
+confirmed on the full sets.
 
 Equal sets are one vertex, so copies cost nothing. Links become classes by large-star and small-star rounds.
 
@@ -36,8 +38,10 @@ from pagewise.session import cut_lineage
 SHINGLE = 5
 SIZE = 64
 BRANCHES = 2
-LEAF = 48
-DEPTH = 4
+LEAF = 32
+DEPTH = 8
+#: Levels whose large nodes get pivots.
+STAR_LEVELS = (2, 5, 8)
 TARGET_RECALL = 0.99999
 #: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 of 64.
 LEAST_AGREEMENT = {0.85: 40, 0.80: 37}
@@ -120,16 +124,26 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _children(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (node, rep) one level down: a child for each drawn coordinate and each value there."""
+    """Rows (node, rep, ball) one level down: a child for each drawn coordinate and each value there."""
     drawn = [F.xxhash64(F.col("node"), F.lit(branch)) for branch in range(BRANCHES)]
     child = [F.xxhash64(at, F.element_at("minima", (F.pmod(at, F.lit(SIZE)) + 1).cast("int"))) for at in drawn]
-    return nodes.join(sets, "rep").select("rep", F.explode(F.array(*child)).alias("node"))
+    return nodes.join(sets, "rep").select("rep", "ball", F.explode(F.array(*child)).alias("node"))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """Add the node's size; nodes of one set are gone."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    return nodes.join(sizes, "node")
+    """Add the node's largest ball and how many sets lie outside it; nodes of one ball are finished and gone."""
+    balls = nodes.groupBy("node", "ball").agg(F.count("*").alias("n"))
+    sizes = balls.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "ball")).alias("top"))
+    sizes = sizes.select("node", F.col("top.ball").alias("top"), (F.col("size") - F.col("top.n")).alias("outside"))
+    return nodes.join(sizes.filter("outside > 0"), "node")
+
+
+def _pairs(sized: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node: the sets outside the largest ball against all others of another ball."""
+    left = sized.filter("ball != top").select("node", F.col("rep").alias("x"), F.col("ball").alias("ball_x"))
+    right = sized.select("node", F.col("rep").alias("y"), F.col("ball").alias("ball_y"), (F.col("ball") != F.col("top")).alias("both"))
+    met = left.join(right, "node").filter("ball_x != ball_y and (not both or x < y)")
+    return met.select(*_ordered(F.col("x"), F.col("y")))
 
 
 def _agreement(left: Column, right: Column) -> Column:
@@ -174,31 +188,48 @@ def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
     return dense.select("node", "rep").join(pivots, "node").filter("rep != pivot")
 
 
+def _stars(dense: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, least: int) -> DataFrame:
+    """Confirmed links (a, b) between the pivots and the other sets of large nodes, with the pivot."""
+    stars = stored(_dense_pairs(dense, sets).select(*_ordered(F.col("pivot"), F.col("rep")), "pivot").distinct())
+    true = confirmed(stored(_alike(stars.select("a", "b"), sets, least)), docs, percent)
+    return stored(stars.join(true, ["a", "b"]))
+
+
+def _balls(sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """``sets`` with ball: the smallest pivot a set is linked to, so sets of one ball are connected; else the set itself."""
+    own = stars.select(F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("rep"), "pivot")
+    found = own.union(stars.select(F.col("pivot").alias("rep"), "pivot")).groupBy("rep").agg(F.min("pivot").alias("pivot"))
+    return sets.select("rep", "minima").join(found, "rep", "left").select("rep", "minima", F.coalesce("pivot", "rep").alias("ball"))
+
+
 def links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b), a < b, between the different sets of ``sets`` (rep, minima)."""
-    spark = docs.sparkSession
+    """Confirmed links (a, b), a < b, that connect the different sets of ``sets`` (rep, minima)."""
     least = LEAST_AGREEMENT[percent / 100]
     trees = [F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees_for(percent / 100))]
     nodes = sets.select("rep", F.explode(F.array(*trees)).alias("node"))
-    found = None
+    sets = sets.select("rep", "minima", F.col("rep").alias("ball"))
+    sized, found, known = None, [], []
     for level in range(1, DEPTH + 1):
         sized = stored(_sized(_children(nodes, sets)))
-        small = sized.filter(F.col("size") <= LEAF).select("node", "rep")
-        left, right = small.withColumnRenamed("rep", "a"), small.withColumnRenamed("rep", "b")
-        pairs = left.join(right, "node").filter("a < b").select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        nodes = sized.filter(F.col("size") > LEAF).select("node", "rep")
-    dense = nodes
-    stars = stored(_dense_pairs(dense, sets))
-    candidates = stored(_alike(found.union(stars.select(*_ordered(F.col("pivot"), F.col("rep")))), sets, least))
-    first = stored(confirmed(candidates, docs, percent))
-    # What the pivots did not reach is compared with every member of its node.
-    reached = stars.join(first, (F.least("pivot", "rep") == F.col("a")) & (F.greatest("pivot", "rep") == F.col("b")), "left_anti")
-    rest = reached.select("node", F.col("rep").alias("outside"))
-    pairs = rest.join(dense, "node").filter("outside != rep").select(*_ordered(F.col("outside"), F.col("rep")))
-    more = _alike(pairs.distinct().join(candidates, ["a", "b"], "left_anti"), sets, least)
-    second = confirmed(stored(more), docs, percent)
-    return stored(first.union(second).distinct())
+        large = sized.filter(F.col("outside") > LEAF)
+        if level in STAR_LEVELS:
+            star = _stars(large.select("node", "rep"), sets, docs, percent, least)
+            known.append(star.select("a", "b"))
+            sets = stored(_balls(sets, star if len(known) == 1 else star.union(earlier)))
+            earlier = star if len(known) == 1 else star.union(earlier)
+            again = sized.select("node", "rep").join(sets.select("rep", "ball"), "rep")
+            sized = stored(_sized(again.select("rep", "ball", "node")))
+            large = sized.filter(F.col("outside") > LEAF)
+        found.append(_pairs(sized.filter(F.col("outside") <= LEAF)))
+        nodes = large.select("node", "rep")
+    found.append(_pairs(large))  # dense and unlinked: compared exhaustively, so that no link is lost
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    true = confirmed(stored(_alike(pairs, sets, least)), docs, percent)
+    for star in known:
+        true = true.union(star)
+    return stored(true.distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
