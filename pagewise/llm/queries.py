@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pagewise.llm import chosenpath, licenses, mixing, packing, pii, quality, sitetree, warc
+from pagewise.llm import chosenpath, forest, leaks, licenses, mixing, packing, pii, quality, sitetree, warc
 from pagewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_temperature_mixing": lambda spark, folder: mixing.mixing_digest(table(spark, folder, "documents")),
+        "op2_secret_forest": lambda spark, folder: leaks.secrets_digest(table(spark, folder, "documents")),
         "op3_chosen_path": lambda spark, folder: chosenpath.near_duplicates(table(spark, folder, "documents")),
         "op4_feistel_pseudonyms": lambda spark, folder: pii.pii_digest(table(spark, folder, "documents")),
         "op5_site_style_tree": lambda spark, folder: sitetree.main_text(table(spark, folder, "pages")),
+        "op6_projection_forest": lambda spark, folder: forest.neighbours(table(spark, folder, "embeddings")),
         "op7_licence_scan": lambda spark, folder: licenses.licence_digest(table(spark, folder, "documents")),
         "op8_nnls_packing": lambda spark, folder: packing.pack(table(spark, folder, "documents")),
         "op9_warc_archives": lambda spark, folder: warc.archive_digest(table(spark, folder, "pages")),
@@ -28,4 +30,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op3_chosen_path": chosenpath.ORACLE, "op10_quality_cascade": quality.ORACLE}
+    return {"op3_chosen_path": chosenpath.ORACLE, "op6_projection_forest": forest.ORACLE, "op10_quality_cascade": quality.ORACLE}
