@@ -68,7 +68,7 @@ def _attributes(text: str) -> tuple[str, frozenset[str]]:
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)] if text else []
     names = " ".join(value for name, value in found if name in ("class", "id"))
     words = frozenset(WORD.findall(" ".join(value for _, value in found).lower()))
-    return re.sub(r"\d+", "0", names.lower()), words | ({"hidden"} if any(name == "hidden" for name, _ in found) else frozenset())
+    return re.sub(r"\d{2,}", "0", names.lower()), words | ({"hidden"} if any(name == "hidden" for name, _ in found) else frozenset())
 
 
 def _role(tag: str, words: frozenset[str], inside: bool) -> str:
