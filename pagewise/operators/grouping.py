@@ -61,7 +61,9 @@ def back_of_bill(
     )
 
 
-def group_features(classified: DataFrame, keep_block: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
+def group_features(
+    classified: DataFrame, keep_block: bool = False, bits: int = BLOCK_BITS, held: bool = False
+) -> DataFrame:
     """Per page: neighbours, set membership and the verdict its neighbours allow."""
     placed = with_neighbours(
         classified,
@@ -69,6 +71,7 @@ def group_features(classified: DataFrame, keep_block: bool = False, bits: int =
         following=("doc_type",),
         keep_block=keep_block,
         bits=bits,
+        held=held,
     )
     doc_type, prev_type = F.col("doc_type"), F.col("prev_doc_type")
     compatible = T.suppliers_compatible(
@@ -147,7 +150,7 @@ def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """
     columns = classified.columns
     known = cut_lineage(classified.filter(F.col("doc_id").isNotNull() & F.col("page_number").isNotNull()))
-    features = group_features(known, keep_block=True, bits=bits)
+    features = group_features(known, keep_block=True, bits=bits, held=True)
     payload = F.struct("page_number", "move", *[c for c in columns if c not in ("doc_id", "page_number")])
     blocks = features.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(payload)).alias("items"))
 

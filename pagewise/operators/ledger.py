@@ -67,14 +67,14 @@ def consume_credits(jobs: DataFrame, balances: DataFrame) -> DataFrame:
     """Replay of credit consumption: a job is charged when the balance covers it, else it takes nothing.
 
     The balance is whole megabytes, so "balance >= size" means "balance >= ceil(size)", and the charge is
-    rounded half up to whole megabytes.
+    rounded half up to whole megabytes. A job of a user without a balance has nothing to spend.
     """
-    requests = jobs.join(balances.select("user_id", "available_mb"), "user_id").select(
+    requests = jobs.join(balances.select("user_id", "available_mb"), "user_id", "left").select(
         "user_id",
         "created_at",
         "id",
         "file_size_mb",
-        F.col("available_mb").cast("bigint").alias("budget"),
+        F.coalesce("available_mb", F.lit(0)).cast("bigint").alias("budget"),
         F.ceil("file_size_mb").cast("bigint").alias("need"),
         F.round("file_size_mb", 0).cast("bigint").alias("charge"),
     )
@@ -172,12 +172,13 @@ def admission_replay(
     A free use needs a user and an address that are both unused that day, so acceptance depends on earlier
     acceptances through two keys. Rounds settle it without ordering a whole day in one task: a candidate
     that is the earliest left for its user and for its address is accepted, which bars the other candidates
-    of both; every round is two map-side combined minima.
+    of both; every round is two map-side combined minima. Jobs of unknown users are answered ``unknown_user``.
     """
     people = users.select(
         F.col("id").alias("user_id"), T.is_admin(F.col("role"), F.col("email"), admin_emails).alias("admin")
     )
     known = jobs.join(people, "user_id")
+    strangers = jobs.join(people, "user_id", "left_anti")
     paid = consume_credits(known.filter(~F.col("admin")), balances).filter("accepted").select("id")
     rest = cut_lineage(
         known.join(paid.withColumn("by_credits", F.lit(True)), "id", "left")
@@ -197,11 +198,16 @@ def admission_replay(
     by_ip = winners.filter("ip is not null").select("ip", "day", F.col("turn").alias("ip_turn"))
     free_uses = F.when(F.col("user_turn") < F.col("turn"), 1).otherwise(0)
     ip_uses = F.when(F.col("ip_turn") < F.col("turn"), 1).otherwise(0)
-    return (
+    replayed = (
         rest.join(by_user, ["user_id", "day"], "left")
         .join(by_ip, ["ip", "day"], "left")
         .select("id", "user_id", "ip", "file_size_mb", "pages_count", _mode(free_uses, ip_uses).alias("mode"))
     )
+    return replayed.unionByName(
+        strangers.select(
+            "id", "user_id", T.usable_ip(F.col("ip_address")).alias("ip"), "file_size_mb", "pages_count", F.lit("unknown_user").alias("mode")
+        )
+    )
 
 
 def _free_winners(candidates: DataFrame) -> DataFrame:

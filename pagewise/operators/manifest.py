@@ -16,19 +16,27 @@ def _page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
 
 
+def _merge_files(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    return requests.join(_page_counts(pages), "doc_id", "left").select("merge_id", "file_ord", "doc_id", "total_pages")
+
+
+def merge_errors(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per refused merge: fewer than two files, or files that are not there."""
+    sizes = _merge_files(pages, requests).groupBy("merge_id").agg(
+        F.count("*").alias("files"), F.count_if(F.col("total_pages").isNull()).alias("missing")
+    )
+    error = F.when(F.col("missing") > 0, "missing_file").when(F.col("files") < 2, "too_few_files")
+    return sizes.withColumn("error", error).filter("error is not null")
+
+
 def merge_docs(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Concatenate documents in the given order (merge_id, file_ord, doc_id) and renumber.
 
     Only files are summed in order; a page's new number is its file's offset plus its own number, so pages
-    join once and are never ranked. Merges of fewer than two files are refused (left out).
+    join once and are never ranked. Refused merges are left out; ``merge_errors`` names them.
     """
-    sizes = requests.groupBy("merge_id").agg(F.count("*").alias("files")).filter("files >= 2")
-    files = (
-        requests.join(sizes.select("merge_id"), "merge_id", "left_semi")
-        .join(_page_counts(pages), "doc_id")
-        .select("merge_id", "file_ord", "doc_id", "total_pages")
-    )
-    placed = running_total(files, ["merge_id"], ["file_ord"], F.col("total_pages").cast("bigint"), "offset")
+    files = _merge_files(pages, requests).join(merge_errors(pages, requests).select("merge_id"), "merge_id", "left_anti")
+    placed = running_total(files, ["merge_id"], ["file_ord", "doc_id"], F.col("total_pages").cast("bigint"), "offset")
     return pages.join(placed.select("merge_id", "file_ord", "doc_id", "offset"), "doc_id").select(
         "merge_id",
         "file_ord",

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewise.session import cut_lineage
+
 BLOCK_BITS = 12
 BLOCK_ROWS = 1 << BLOCK_BITS
 
@@ -32,20 +34,6 @@ def explode_range(df: DataFrame, start: Column, end: Column, out: str, bits: int
     return spread.withColumn(out, F.explode(F.sequence(low, high))).drop("_start", "_end", "_block")
 
 
-def in_neighbour_blocks(df: DataFrame, page: str = "page_number", bits: int = BLOCK_BITS) -> DataFrame:
-    """Give each row its ``block``; rows at a block edge are also lent to the block next door.
-
-    Pages are numbered 1..N without gaps, so the edge rows are known from the number alone and the two
-    neighbours of every page meet in its block. Lent copies carry ``lent = true``.
-    """
-    own = block_of(F.col(page) - 1, bits)
-    last = F.col(page) % F.lit(1 << bits) == 0
-    first = (F.col(page) % F.lit(1 << bits) == 1) & (F.col(page) > 1)
-    homes = F.array_compact(F.array(own, F.when(last, own + 1), F.when(first, own - 1)))
-    spread = df.withColumn("own_block", own).withColumn("block", F.explode(homes))
-    return spread.withColumn("lent", F.col("block") != F.col("own_block")).drop("own_block")
-
-
 def with_neighbours(
     df: DataFrame,
     previous: Sequence[str] = (),
@@ -54,16 +42,43 @@ def with_neighbours(
     page: str = "page_number",
     bits: int = BLOCK_BITS,
     keep_block: bool = False,
+    held: bool = False,
 ) -> DataFrame:
-    """Add ``prev_*`` and ``next_*`` columns of the neighbouring pages of the same document."""
+    """Add ``prev_*`` and ``next_*`` columns of the pages before and after, by order, in the same document.
+
+    Neighbours inside a block come from a window; a block's first and last page meet the nearest block that has
+    pages, so gaps between page numbers change nothing, whatever the block size. ``held`` says that ``df`` is stored
+    and may be read twice.
+    """
+    if not held:
+        df = cut_lineage(df)
     window = Window.partitionBy(doc, "block").orderBy(page)
-    placed = in_neighbour_blocks(df, page, bits)
-    for name in previous:
-        placed = placed.withColumn(f"prev_{name}", F.lag(name).over(window))
-    for name in following:
-        placed = placed.withColumn(f"next_{name}", F.lead(name).over(window))
-    placed = placed.filter(~F.col("lent")).drop("lent")
-    return placed if keep_block else placed.drop("block")
+    placed = df.withColumn("block", block_of(F.col(page) - 1, bits))
+    ends = placed.filter(F.col(page).isNotNull()).groupBy(doc, "block").agg(
+        F.max_by(F.struct(F.lit(1).alias("there"), *previous), page).alias("tail"),
+        F.min_by(F.struct(F.lit(1).alias("there"), *following), page).alias("head"),
+    )
+    blocks = Window.partitionBy(doc).orderBy("block")
+    ends = ends.withColumns({"before": F.lag("tail").over(blocks), "after": F.lead("head").over(blocks)})
+    ends = ends.filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+    ends = ends.select(F.col(doc).alias("_doc"), F.col("block").alias("_block"), "before", "after")
+    first, last = F.lag(F.lit(1)).over(window).isNull(), F.lead(F.lit(1)).over(window).isNull()
+    inside = placed.withColumns(
+        {
+            **{f"prev_{name}": F.lag(name).over(window) for name in previous},
+            **{f"next_{name}": F.lead(name).over(window) for name in following},
+            "_first": first,
+            "_last": last,
+        }
+    )
+    met = inside.join(ends, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("block") == F.col("_block")), "left")
+    met = met.withColumns(
+        {
+            **{f"prev_{n}": F.when(F.col("_first"), F.col("before")[n]).otherwise(F.col(f"prev_{n}")) for n in previous},
+            **{f"next_{n}": F.when(F.col("_last"), F.col("after")[n]).otherwise(F.col(f"next_{n}")) for n in following},
+        }
+    ).drop("_first", "_last", "_doc", "_block", "before", "after")
+    return met if keep_block else met.drop("block")
 
 
 def running_total(

@@ -122,19 +122,15 @@ def fulfil_payments(parsed: DataFrame) -> DataFrame:
     """
     usable = parsed.filter(F.col("user_id").isNotNull())
     final = F.col("status").isin(*FINAL)
-    body = F.struct("status", "user_id", "package_id", "credits_mb", "amount_brl", "ts")
-    money = F.struct("fee_brl", "net_amount_brl", "payment_method")
+    # One notice per choice: notices of one time stamp are told apart by their content.
+    notice = F.struct(
+        "ts", "status", "user_id", "package_id", "credits_mb", "amount_brl", "fee_brl", "net_amount_brl", "payment_method"
+    )
     folded = usable.groupBy("payment_id").agg(
-        F.min_by(body, F.when(final, F.col("ts"))).alias("settled"),
-        F.min_by(money, F.when(final, F.col("ts"))).alias("settled_money"),
-        F.max_by(body, "ts").alias("last"),
-        F.max_by(money, "ts").alias("last_money"),
-        F.count("*").alias("notices"),
+        F.min(F.when(final, notice)).alias("settled"), F.max(notice).alias("last"), F.count("*").alias("notices")
     )
     kept = F.coalesce("settled", "last")
-    refreshed = F.when(
-        F.col("settled.status") == "approved", F.col("last_money")
-    ).otherwise(F.coalesce("settled_money", "last_money"))
+    refreshed = F.when(F.col("settled.status") == "approved", F.col("last")).otherwise(kept)
     approved = kept["status"] == "approved"
     return folded.select(
         "payment_id",

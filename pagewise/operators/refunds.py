@@ -148,13 +148,16 @@ def refund_preview(transactions: DataFrame, users: DataFrame, provider: DataFram
 def refund_apply(
     requests: DataFrame, transactions: DataFrame, users: DataFrame, provider: DataFrame | None = None
 ) -> DataFrame:
-    """Apply a batch of refund requests (request_id, transaction_id, ...), one per transaction, in order.
+    """Apply a batch of refund requests (request_id, transaction_id, ...) in order; returns those that go through.
+
+    Only the first request for a transaction can: it takes the rest of the pack or all the user has, and neither grows
+    during the batch. ``refund_refusals`` answers the others.
 
     Every refund of a user lowers what the next may claw. A refund goes through when the balance covers the
     smallest claw that still returns money, and takes at most the rest of its pack.
     """
     terms = _terms(transactions, users, provider)
-    asked = requests.select("request_id", F.col("transaction_id").alias("id"))
+    asked = requests.groupBy(F.col("transaction_id").alias("id")).agg(F.min("request_id").alias("request_id"))
     rows = asked.join(terms, "id")
     blocked = F.lit(False)
     for reason in _standing_reasons():
@@ -197,6 +200,24 @@ def refund_apply(
     )
 
 
+def refund_refusals(
+    requests: DataFrame, transactions: DataFrame, users: DataFrame, provider: DataFrame | None = None
+) -> DataFrame:
+    """The requests that do not go through, with every standing reason, or why the batch left nothing to refund."""
+    done = refund_apply(requests, transactions, users, provider).select("request_id", "transaction_id")
+    left = requests.select("request_id", "transaction_id").join(done, ["request_id", "transaction_id"], "left_anti")
+    earlier = done.select(F.col("transaction_id").alias("_done"), F.col("request_id").alias("_by"))
+    terms = refund_preview(transactions, users, provider).select(F.col("transaction_id").alias("_id"), "block_reasons")
+    rows = left.join(terms, F.col("transaction_id") == F.col("_id"), "left").join(earlier, F.col("transaction_id") == F.col("_done"), "left")
+    reasons = (
+        F.when(F.col("_id").isNull(), F.array(F.lit("unknown_transaction")))
+        .when(F.col("_by").isNotNull(), F.array(F.lit("already_refunded_in_batch")))
+        .when(F.size("block_reasons") > 0, F.col("block_reasons"))
+        .otherwise(F.array(F.lit("balance_spent_in_batch")))
+    )
+    return rows.select("request_id", "transaction_id", reasons.alias("block_reasons"))
+
+
 def totals_after_refunds(users: DataFrame, applied: DataFrame) -> DataFrame:
     clawed = applied.groupBy("user_id").agg(F.sum("credits_clawed_mb").alias("clawed_mb"))
     return users.join(clawed, users["id"] == clawed["user_id"], "left").select(

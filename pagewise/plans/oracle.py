@@ -309,8 +309,8 @@ VIEWS.update(
         "union all select day, seq, case when m = 'free' then list_append(us, user_id) else us end, case when m = 'free' and ip is not null then list_append(ips, ip) else ips end, id, m from ("
         "select d.day, d.us, d.ips, r.seq, r.user_id, r.ip, r.id, case when list_contains(d.us, r.user_id) then 'user_daily_limit' when r.ip is not null and list_contains(d.ips, r.ip) then 'ip_daily_limit' "
         "when r.file_size_mb > 2 then 'file_too_large' when r.pages_count > 10 then 'too_many_pages' else 'free' end as m from day_walk d join replay r on r.day = d.day and r.seq = d.seq + 1)",
-        "edits": "select conv_id as post_id, cast(turn as integer) as edit_ord, timestamp '2024-01-01 00:00:00' + to_minutes(conv_id * 60 + turn) as ts, case when turn = 0 or turn % 3 = 1 then substr(text, 1, 60) end as title, "
-        "case when turn % 2 = 0 then substr(text, 61, 80) end as excerpt, text as body_md, case when turn % 4 = 2 then 'cover-' || conv_id end as cover_url, case when turn = 3 then 'Edição Nº ' || conv_id end as slug, "
+        "edits": "select conv_id as post_id, cast(turn as integer) as edit_ord, timestamp '2024-01-01 00:00:00' + to_minutes(conv_id * 60 + turn) as ts, case when turn = 0 or turn % 3 = 1 then text end as title, "
+        "case when turn % 2 = 0 then substr(text, 61) end as excerpt, text as body_md, case when turn % 4 = 2 then 'cover-' || conv_id end as cover_url, case when turn = 3 then 'Edição Nº ' || conv_id end as slug, "
         "case when turn % 4 = 0 then conv_id % 2 = 0 when turn % 4 = 2 then true when turn % 4 = 3 and conv_id % 3 = 0 then false end as published, "
         "case when role = 'assistant' then 'editor@example.com' when turn = 0 then 'autor@example.com' end as author_email from conversations",
         "edits2": f"select *, case when edit_ord = 0 then coalesce(published, false) else published end as pub, case when edit_ord = 0 then coalesce(nullif(slug, ''), title) else slug end as slug_src from edits",
@@ -435,7 +435,7 @@ _ADDRESSES = (
 )
 _PAID_FILTER = f"not {invoice('payment_method', 'payment_id')} and payment_status in ('approved', 'partially_refunded', 'refunded')"
 _RECENT = (
-    "(select user_id, cast(sum(file_size_mb) as decimal(18,2)) as mb, count(*) as n from (select * from work order by created_at desc, id desc limit 80) group by user_id)"
+    "(select user_id, cast(sum(file_size_mb) as decimal(18,2)) as mb, count(*) as n from work group by user_id)"
 )
 _DAMAGED = (
     "(select doc_id, start_page, case when doc_id % 7 = 2 and group_seq % 3 = 1 then end_page + 1 when doc_id % 11 = 4 and group_seq = 1 then start_page - 1 else end_page end as end_page "
@@ -589,7 +589,7 @@ BODIES: dict[str, str] = {
     "transactions_search": "select b.id, b.payment_id, coalesce(p.email, '') as user_email, b.created_at from (select * from bought order by created_at desc, id desc limit 100) b left join people p on p.id = b.user_id where contains(lower(coalesce(p.email, '')), 'invoice_') or contains(lower(b.payment_id), 'invoice_')",
     "job_history": "select user_id, cast(row_number() over (partition by user_id order by created_at desc, id desc) as integer) as rank, id, filename, status from work qualify row_number() over (partition by user_id order by created_at desc, id desc) <= 10",
     "blog_list": "(select 'public' as part, post_id, slug from posts where published order by published_at desc, post_id limit 50) union all (select 'drafts', post_id, slug from posts order by updated_at desc, post_id limit 100)",
-    "accounts_order": f"select id as user_id, total_credits_mb > used_credits_mb as active_paid, greatest(total_credits_mb - used_credits_mb, 0) as available_mb, email from people where id in (select user_id from bought where {_PAID_FILTER}) order by active_paid desc, available_mb desc, email, id limit 150",
+    "accounts_order": f"select id as user_id, total_credits_mb > used_credits_mb as active_paid, greatest(total_credits_mb - used_credits_mb, 0) as available_mb, email from people where id in (select user_id from bought where {_PAID_FILTER})",
     "row_scope": "select 'job' as part, id, user_id from work where user_id = 42 union all select 'transaction', id, user_id from bought where user_id = 42 union all select 'user', id, id from people where id = 42",
     "counter_as_of": f"select id, {counter('free_uses_today', 'last_free_use')} as free_uses_today, {counter('pdf_tools_uses_today', 'pdf_tools_last_use')} as pdf_tools_uses_today from people",
     "consume_credits": "select id, user_id, created_at, file_size_mb, before as balance_before, ok as accepted, before - after as charged_mb from spending",

@@ -758,7 +758,7 @@ def blog_list(spark, folder):
 @query
 def accounts_order(spark, folder):
     paid = A.order_paid(A.paid_accounts(S.transactions(spark, folder), S.users(spark, folder), S.jobs(spark, folder)))
-    return paid.select("user_id", "active_paid", "available_mb", "email").limit(150)
+    return paid.select("user_id", "active_paid", "available_mb", "email")
 
 
 @query

@@ -174,7 +174,7 @@ def _usage_columns() -> dict[str, Column]:
 
 
 def paid_accounts(
-    transactions: DataFrame, users: DataFrame, jobs: DataFrame, limit: int | None = None, job_limit: int | None = 80
+    transactions: DataFrame, users: DataFrame, jobs: DataFrame, limit: int | None = None, job_limit: int | None = None
 ) -> DataFrame:
     """Paying accounts. ``last_at`` is the oldest purchase of the slice, as the screen shows it."""
     bought = (
@@ -206,7 +206,7 @@ def paid_accounts(
 
 
 def invoiced_accounts(
-    transactions: DataFrame, users: DataFrame, jobs: DataFrame, limit: int | None = None, job_limit: int | None = 80
+    transactions: DataFrame, users: DataFrame, jobs: DataFrame, limit: int | None = None, job_limit: int | None = None
 ) -> DataFrame:
     """Invoiced accounts with their three newest notes, picked by rank before any list is built."""
     invoices = _invoiced(newest(transactions, limit))

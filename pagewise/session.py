@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -32,11 +30,11 @@ def build_session(app: str = "pagewise", master: str | None = None, **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only when none is named, as in tests."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; without one, a folder of the session's warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get(CHECKPOINT_SETTING, None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored")
     return context.getCheckpointDir()
 
 

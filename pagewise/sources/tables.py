@@ -333,8 +333,8 @@ def post_edits(spark: SparkSession, folder: str) -> DataFrame:
         conv.alias("post_id"),
         turn.cast("int").alias("edit_ord"),
         F.timestamp_add("MINUTE", (conv * 60 + turn).cast("int"), at("2024-01-01 00:00:00")).alias("ts"),
-        F.when(first | (turn % 3 == 1), F.substring("text", 1, 60)).alias("title"),
-        F.when(turn % 2 == 0, F.substring("text", 61, 80)).alias("excerpt"),
+        F.when(first | (turn % 3 == 1), F.col("text")).alias("title"),
+        F.when(turn % 2 == 0, F.substr(F.col("text"), F.lit(61))).alias("excerpt"),
         F.col("text").alias("body_md"),
         F.when(turn % 4 == 2, F.concat(F.lit("cover-"), conv.cast("string"))).alias("cover_url"),
         F.when(turn == 3, F.concat(F.lit("Edição Nº "), conv.cast("string"))).alias("slug"),
