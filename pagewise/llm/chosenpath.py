@@ -1,12 +1,12 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document is the set of its 5-word shingles, seen through ``SIZE`` minwise hash values. A tree starts with all sets in
-one node. Each node draws ``BRANCHES`` minwise coordinates at random; a child holds the sets that agree in one of them.
-Nodes of at most ``LEAF`` sets are compared exhaustively. With two branches a pair of similarity s meets in a child of a
-node with chance 1 - (1 - s)^2, and on paths of any length with the fixed point of that chance; independent trees repeat this
-until the target recall is met (``trees_for``).
+one node. Each node draws one or two minwise coordinates at random; a child holds the sets that agree in one of them.
+Nodes of at most ``LEAF`` sets are compared exhaustively. The chance that a pair of a given similarity stays together on some
+path of any length is a fixed point of the branching; independent trees repeat this until the target recall is met
+(``trees_for``).
 
-Nodes that stay large are dense: their sets resemble each other. At some levels the set of a large node nearest to its modal
+Nodes that stay large are dense: their sets resemble each other. At one level the set of a large node nearest to its modal
 minwise values is its pivot, and every member is compared with it. The sets linked to a pivot are its ball and connected
 already, so pairs inside a ball are not looked at again: a node is finished when at most ``LEAF`` of its sets lie outside its
 largest ball, by comparing those with all others. Work grows with the members of a node, not with their pairs; only sets
@@ -37,11 +37,12 @@ from pagewise.session import cut_lineage
 
 SHINGLE = 5
 SIZE = 64
-BRANCHES = 2
+#: A node has one branch, and a second with this chance, so sets that are alike by less than 1 / 1.5 thin out on the way.
+SECOND_BRANCH = 0.5
 LEAF = 32
 DEPTH = 8
 #: Levels whose large nodes get pivots.
-STAR_LEVELS = (2, 5, 8)
+STAR_LEVELS = (2,)
 TARGET_RECALL = 0.99999
 #: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 of 64.
 LEAST_AGREEMENT = {0.85: 40, 0.80: 37}
@@ -62,7 +63,7 @@ def trees_for(similarity: float, recall: float = TARGET_RECALL) -> int:
     """Independent trees after which a pair of ``similarity`` has met with chance ``recall``."""
     meet = 1.0
     for _ in range(200):
-        meet = 1 - (1 - similarity * meet) ** BRANCHES
+        meet = 1 - (1 - similarity * meet) * (1 - SECOND_BRANCH * similarity * meet)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
@@ -125,9 +126,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _children(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (node, rep, ball) one level down: a child for each drawn coordinate and each value there."""
-    drawn = [F.xxhash64(F.col("node"), F.lit(branch)) for branch in range(BRANCHES)]
+    drawn = [F.xxhash64(F.col("node"), F.lit(branch)) for branch in range(2)]
     child = [F.xxhash64(at, F.element_at("minima", (F.pmod(at, F.lit(SIZE)) + 1).cast("int"))) for at in drawn]
-    return nodes.join(sets, "rep").select("rep", "ball", F.explode(F.array(*child)).alias("node"))
+    forks = F.pmod(F.xxhash64(F.col("node"), F.lit("fork")), F.lit(1000)) < int(1000 * SECOND_BRANCH)
+    reached = F.when(forks, F.array(*child)).otherwise(F.array(child[0]))
+    return nodes.join(sets, "rep").select("rep", "ball", F.explode(reached).alias("node"))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def _ordered(left: Column, right: Column) -> list[Column]:
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` with 100 * intersection >= ``percent`` * union on the full sets, read again from the texts."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
+    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInPandas(_full, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
