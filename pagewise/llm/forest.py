@@ -5,7 +5,9 @@ Trees are grown on a bounded sample: a node is split by the hyperplane halfway b
 queue over all trees, ordered by how far it lies on the wrong side of the hyperplanes passed, and takes leaves from it
 until they hold a set share of the vectors. The vectors of those leaves are ranked by exact Euclidean distance.
 
-Leaves are handled in blocks of bounded size, queries and vectors alike, so a leaf may hold any share of the table.
+Vectors are dealt into chunks of bounded size, whatever their leaves, so a leaf may hold any share of the table and a vector
+is shuffled once, not once a tree. Each chunk keeps its own lists of leaf members; a query visits every chunk with the leaves
+it has chosen, and the best of all chunks are its neighbours.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part, as query or candidate;
 so do rows with a null id. Vectors of another length than most of the sample take no part. Rows that repeat an id and a
@@ -18,11 +20,13 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from pagewise.llm.common import shipped, stored
 
@@ -38,7 +42,8 @@ SEARCH_SHARE = 0.75
 SEARCH_ROWS = 4_000
 NEAREST = 10
 QUERY_STEP = 100
-BLOCK_ROWS = 2048
+#: Most vectors a task holds at once.
+CHUNK_ROWS = 1 << 17
 SEED = 5
 
 
@@ -100,8 +105,8 @@ def grown(vectors: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -
     return [Tree(vectors, leaf_rows, t) for t in range(trees)]
 
 
-def searched(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.ndarray, rows: int) -> list[tuple[int, int]]:
-    """Leaves (tree, leaf) nearest to the query that together hold at least ``rows`` vectors."""
+def searched(forest: list[Tree], sizes: dict[int, int], starts: list[int], query: np.ndarray, rows: int) -> list[int]:
+    """Numbers of the leaves nearest to the query that together hold at least ``rows`` vectors; tree t's begin at ``starts[t]``."""
     queue = [(0.0, t, tree.root) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
     margins = [tree.normals @ query - tree.offsets for tree in forest]
@@ -113,55 +118,103 @@ def searched(forest: list[Tree], sizes: dict[tuple[int, int], int], query: np.nd
             side = int(margin > 0)
             heapq.heappush(queue, (max(far, abs(margin)), t, int(forest[t].children[at, 1 - side])))
             at = int(forest[t].children[at, side])
-        size = sizes.get((t, -at - 1), 0)
-        if size:
-            found.append((t, -at - 1))
+        leaf = starts[t] - at - 1
+        if size := sizes.get(leaf, 0):
+            found.append(leaf)
             held += size
     return found
 
 
-def _place(forest: list[Tree]):
+def _place(forest: list[Tree], starts: list[int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            same = pd.DataFrame({"id": frame["vec_id"], "bytes": [v.tobytes() for v in frame["vector"]]}).duplicated().to_numpy()
+            frame = frame[~same]
             if len(frame):
-                vectors = np.array(frame["vector"].tolist(), dtype=np.float64)
-                for t, tree in enumerate(forest):
-                    yield pd.DataFrame({"tree": t, "leaf": tree.leaf_of(vectors), "vec_id": frame["vec_id"]})
+                vectors = np.stack(frame["vector"].to_list()).astype(np.float64)
+                leaves = np.stack([tree.leaf_of(vectors) + first for tree, first in zip(forest, starts, strict=True)], axis=1)
+                yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy(), "vector": frame["vector"].to_list(), "leaves": list(leaves.astype(np.int32))})
 
     return run
 
 
-def _probe(forest: list[Tree], sizes: dict[tuple[int, int], int], rows: int):
+def _probe(forest: list[Tree], starts: list[int], sizes: dict[int, int], rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [
-                (query, t, leaf)
-                for query, vector in zip(frame["vec_id"], frame["vector"], strict=True)
-                for t, leaf in searched(forest, sizes, np.array(vector, dtype=np.float64), rows)
-            ]
-            yield pd.DataFrame(out, columns=["query_id", "tree", "leaf"])
+            chosen = [np.array(searched(forest, sizes, starts, v.astype(np.float64), rows), dtype=np.int32) for v in frame["vector"]]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "vector": frame["vector"], "leaves": chosen})
 
     return run
 
 
+class Chunk:
+    """Some vectors of the table and, by leaf, which of them it holds."""
+
+    def __init__(self):
+        self.frames: list[pd.DataFrame] = []
+        self.ids: np.ndarray | None = None
+
+    def add(self, frame: pd.DataFrame) -> None:
+        self.frames.append(frame[["vec_id", "vector", "leaves"]])
+
+    def close(self) -> None:
+        """After the last vector: equal rows, which arrive together, become one; leaf members are listed."""
+        if self.ids is None and self.frames:
+            rows = pd.concat(self.frames, ignore_index=True)
+            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_list())
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+            self.ids, self.vectors = ids[new], vectors[new]
+            leaves = np.stack(rows["leaves"].to_list())[new]
+            order = np.argsort(leaves, axis=None, kind="stable")
+            self.leaves, self.rows = leaves.ravel()[order], order // leaves.shape[1]
+            self.frames = []
+
+    def nearest(self, query: int, vector: np.ndarray, leaves: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact distances of the nearest members of ``leaves``."""
+        low, high = np.searchsorted(self.leaves, leaves, "left"), np.searchsorted(self.leaves, leaves, "right")
+        n = high - low
+        within = np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.empty(0, dtype=np.int64)
+        seen = np.zeros(len(self.ids), dtype=bool)
+        seen[self.rows[within]] = True
+        at = np.flatnonzero(seen & (self.ids != query))
+        score = np.sqrt(((self.vectors[at].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
+        order = np.lexsort((self.ids[at], score))
+        ids = self.ids[at][order]
+        # An id that stands on several different vectors counts with its nearest.
+        first = np.sort(np.unique(ids, return_index=True)[1])[:count]
+        return ids[first], score[order][first]
+
+
 def _rank(nearest: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, chunk = None, Chunk()
         for frame in frames:
-            for queries, members in zip(frame["queries"], frame["members"], strict=True):
-                ids = np.array([m["vec_id"] for m in members], dtype=np.int64)
-                vectors = np.array([m["vector"] for m in members], dtype=np.float64)
-                for query in queries:
-                    score = np.sqrt(((vectors - np.array(query["vector"], dtype=np.float64)) ** 2).sum(axis=1))
-                    order = np.lexsort((ids, score))
-                    order = order[ids[order] != query["vec_id"]][:nearest]
-                    yield pd.DataFrame({"query_id": query["vec_id"], "vec_id": ids[order], "score": score[order]})
+            for (here, asks), rows in frame.groupby(["chunk", "asks"]):
+                if here != number:
+                    number, chunk = here, Chunk()
+                if not asks:
+                    chunk.add(rows)
+                    continue
+                chunk.close()
+                if chunk.ids is None:
+                    continue
+                found = [(q, *chunk.nearest(q, v, leaves, nearest)) for q, v, leaves in rows[["vec_id", "vector", "leaves"]].itertuples(index=False, name=None)]
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat([q for q, _, _ in found], [len(ids) for _, ids, _ in found]),
+                        "vec_id": np.concatenate([ids for _, ids, _ in found]),
+                        "score": np.concatenate([score for _, _, score in found]),
+                    }
+                )
 
     return run
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and vector of the rows that take part."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    """vec_id and vector of the rows that take part; floats stay floats until distances are taken."""
+    kept = "array<float>" if vectors.schema[vector].dataType == ArrayType(FloatType()) else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kept).alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     some = F.exists("vector", lambda x: x != 0)
     return rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
@@ -178,32 +231,29 @@ def neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each query, a row whose id is divisible by ``step``."""
     spark = vectors.sparkSession
-    rows = stored(valid(vectors).distinct())
-    sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()]
-    if not sample:
+    rows = valid(vectors)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()["vector"].to_numpy()
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = Counter(map(len, sample)).most_common(1)[0][0]
     rows = rows.filter(F.size("vector") == width)
-    forest = grown(np.array([v for v in sample if len(v) == width]), trees)
-    shape = "tree int, leaf long, vec_id long"
-    index = stored(rows.mapInPandas(_place(forest), shape))
+    forest = grown(np.stack([v for v in sample if len(v) == width]).astype(np.float64), trees)
+    starts = [0, *accumulate(tree.leaves for tree in forest)][:-1]
+    shape = f"vec_id long, vector {rows.schema['vector'].dataType.simpleString()}, leaves array<int>"
+    index = stored(rows.mapInPandas(_place(forest, starts), shape))
     # As many leaves as the trees have, whose number the sample bounds.
-    sizes = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
-    search_rows = max(search_rows, math.ceil(search_share * sum(n for (t, _), n in sizes.items() if t == 0)))
-    queries = rows.filter(F.col("vec_id") % step == 0)
-    probes = stored(queries.mapInPandas(_probe(forest, sizes, search_rows), "query_id long, tree int, leaf long"))
-
-    def blocked(frame: DataFrame, key: str, name: str) -> DataFrame:
-        """Leaf members in arrays of about ``BLOCK_ROWS``, split by a hash of their id."""
-        count = frame.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("blocks"))
-        named = frame.withColumnRenamed(key, "vec_id").join(count, ["tree", "leaf"])
-        named = named.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).join(rows, "vec_id")
-        return named.groupBy("tree", "leaf", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias(name)).drop("block")
-
-    wanted = index.join(probes.select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
-    met = blocked(wanted, "vec_id", "members").join(blocked(probes, "query_id", "queries"), ["tree", "leaf"])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks
-    found = met.select("queries", "members").mapInPandas(_rank(nearest), "query_id long, vec_id long, score double")
+    sizes = {r["leaf"]: r["count"] for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    total = sum(sizes.values()) // trees
+    search_rows = max(search_rows, math.ceil(search_share * total))
+    chunks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / CHUNK_ROWS))
+    queries = index.filter(F.col("vec_id") % step == 0).select("vec_id", "vector").distinct()
+    probes = stored(queries.mapInPandas(_probe(forest, starts, sizes, search_rows), shape))
+    names = ["chunk", "asks", "vec_id", "vector", "leaves"]
+    members = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
+    asked = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("asks", F.lit(True))
+    met = members.select(names).union(asked.select(names)).repartition(chunks, "chunk")
+    met = met.sortWithinPartitions("chunk", "asks", "vec_id", F.xxhash64("vector"))
+    found = met.mapInPandas(_rank(nearest), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
