@@ -6,7 +6,8 @@ afresh, and starts another file when one has reached the compressed size. Files
 has. Attempts that succeed report their files; the report is stored, and a second job gives the reported files their final
 names and lists them in a manifest. Lost or repeated attempts leave files that no manifest names.
 
-Of equal payloads that of the largest page id is the response; the others revisit it.
+Of equal payloads that of the largest page id is the response; the others revisit it. Which page holds a payload is found
+on digests alone and reaches a task as small rows, sorted in front of the pages they speak of, so html is shuffled once.
 
 Defined cases: a null html is an empty payload. A null url gives a record without target. Rows with a null page id are
 written last, spread by payload, with an empty id. Rows that repeat a page id and payload are records of their own and of
@@ -124,10 +125,13 @@ class _Files:
 
 def _writer(folder: str, roll: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files = _Files(folder, roll)
+        files, holder = _Files(folder, roll), None
         for frame in frames:
-            for shard, page_id, url, html, holder in frame[["shard", "page_id", "url", "html", "holder"]].itertuples(index=False, name=None):
-                files.add(shard, member(record(page_id, url, html, holder)))
+            for shard, page_id, verdict, url, html, told in frame[["shard", "page_id", "verdict", "url", "html", "holder"]].itertuples(index=False, name=None):
+                if verdict:
+                    holder = told
+                else:
+                    files.add(shard, member(record(page_id, url, html, holder)))
         files.close()
         yield pd.DataFrame(files.report, columns=["shard", "number", "attempt_name", "name", "records", "bytes", "sha1"])
 
@@ -149,6 +153,11 @@ def _commit(folder: str):
     return run
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Few small rows that each stand for a file, dealt over all cores by name."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "name")
+
+
 def write_archives(pages: DataFrame, folder: str, span: int = SPAN, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write all ``pages`` (page_id, url, html) under ``folder``; returns the manifest, also kept in ``folder``/manifest."""
     spark = pages.sparkSession
@@ -158,15 +167,18 @@ def write_archives(pages: DataFrame, folder: str, span: int = SPAN, roll_bytes:
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
-    mark = [F.sha1(F.col("html").cast("binary")).alias("mark"), F.octet_length("html").alias("size")]
-    holders = own.select("page_id", *mark).groupBy("mark", "size").agg(F.max("page_id").alias("holder"))
-    named = own.select("*", *mark).join(holders, ["mark", "size"])
-    shard = F.coalesce(F.floor(F.col("page_id") / F.lit(span)), -1 - F.pmod(F.xxhash64("html"), F.lit(1024)))
-    placed = named.select(shard.cast("long").alias("shard"), "page_id", "url", "html", "holder")
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    shard = F.coalesce(F.floor(F.col("page_id") / F.lit(span)), -1 - F.pmod(F.xxhash64("mark", "size"), F.lit(1024))).cast("long").alias("shard")
+    marked = own.select("*", F.sha1(F.col("html").cast("binary")).alias("mark"), F.octet_length("html").alias("size"))
+    places = stored(marked.select(shard, "page_id", "mark", "size").distinct())
+    holders = places.groupBy("mark", "size").agg(F.max("page_id").alias("holder"))
+    verdicts = places.join(holders, ["mark", "size"]).select(
+        "shard", "page_id", "mark", "size", F.lit(True).alias("verdict"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "holder"
+    )
+    records = marked.select(shard, "page_id", "mark", "size", F.lit(False).alias("verdict"), "url", "html", F.lit(None).cast("long").alias("holder"))
+    ordered = records.union(verdicts).repartition("shard").sortWithinPartitions("shard", "page_id", "mark", "size", F.desc("verdict"), "url")
     report = stored(ordered.mapInPandas(_writer(folder, roll_bytes), REPORT))
     final = "shard long, number int, name string, records long, bytes long, sha1 string"
-    report.repartition(F.col("name")).mapInPandas(_commit(folder), final).write.json(f"{folder}/manifest")
+    _dealt(report).mapInPandas(_commit(folder), final).write.json(f"{folder}/manifest")
     return spark.read.schema(final).json(f"{folder}/manifest")
 
 
@@ -226,7 +238,7 @@ def _reader(folder: str, with_payload: bool):
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Every record of the archives the manifest lists."""
-    return manifest.select("name").repartition(F.col("name")).mapInPandas(_reader(folder, with_payload), RECORD)
+    return _dealt(manifest.select("name")).mapInPandas(_reader(folder, with_payload), RECORD)
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
