@@ -2,7 +2,8 @@
 
 A document is the set of its 5-word shingles, seen through ``SIZE`` minwise hash values. A tree starts with all sets in
 one node. Each node draws one or two minwise coordinates at random; a child holds the sets that agree in one of them.
-Nodes of at most ``LEAF`` sets are compared exhaustively. The chance that a pair of a given similarity stays together on some
+Nodes of at most ``LEAF`` sets are compared exhaustively, inside the task that holds the node, on one byte of each minwise
+value; only pairs that agree often enough leave it. The chance that a pair of a given similarity stays together on some
 path of any length is a fixed point of the branching; independent trees repeat this until the target recall is met
 (``trees_for``).
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,10 @@ SIZE = 64
 SECOND_BRANCH = 0.5
 LEAF = 32
 DEPTH = 8
+#: Members of a node's largest ball that one task compares with the sets outside it.
+SPLIT = 4096
+#: About so many members of a dense node vote for its modal values; every member is then held against them.
+VOTERS = 64
 #: Levels whose large nodes get pivots.
 STAR_LEVELS = (2,)
 TARGET_RECALL = 0.99999
@@ -106,7 +112,8 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "doc_id": frame["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "mark": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "minima": [minwise(s) if len(s) else None for s in sets],
+                "minima": (minima := [minwise(s) if len(s) else None for s in sets]),
+                "sketch": [None if m is None else m.astype(np.int8) for m in minima],
             }
         )
 
@@ -119,30 +126,87 @@ def _full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, mark (a 128-bit hash of the set) and minima of every row of ``doc_id, text``."""
+    """doc_id, n_shingles, mark (a 128-bit hash of the set), minima and their low bytes of every row of ``doc_id, text``."""
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(_signed, "doc_id long, n_shingles long, mark binary, minima array<int>")
+    return docs.mapInPandas(_signed, "doc_id long, n_shingles long, mark binary, minima array<int>, sketch array<tinyint>")
 
 
-def _children(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (node, rep, ball) one level down: a child for each drawn coordinate and each value there."""
+def _children(nodes: DataFrame) -> DataFrame:
+    """Rows (node, rep, ball) one level below ``nodes`` (node, rep, ball, minima): a child for each drawn coordinate and value."""
     drawn = [F.xxhash64(F.col("node"), F.lit(branch)) for branch in range(2)]
     child = [F.xxhash64(at, F.element_at("minima", (F.pmod(at, F.lit(SIZE)) + 1).cast("int"))) for at in drawn]
     forks = F.pmod(F.xxhash64(F.col("node"), F.lit("fork")), F.lit(1000)) < int(1000 * SECOND_BRANCH)
     reached = F.when(forks, F.array(*child)).otherwise(F.array(child[0]))
-    return nodes.join(sets, "rep").select("rep", "ball", F.explode(reached).alias("node"))
+    return nodes.select("rep", "ball", F.explode(reached).alias("node"))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """Add the node's largest ball and how many sets lie outside it; nodes of one ball are finished and gone."""
+    """Add the node's size, largest ball and how many sets lie outside it; nodes of one ball are finished and gone."""
     balls = nodes.groupBy("node", "ball").agg(F.count("*").alias("n"))
     sizes = balls.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "ball")).alias("top"))
-    sizes = sizes.select("node", F.col("top.ball").alias("top"), (F.col("size") - F.col("top.n")).alias("outside"))
+    sizes = sizes.select("node", "size", F.col("top.ball").alias("top"), (F.col("size") - F.col("top.n")).alias("outside"))
     return nodes.join(sizes.filter("outside > 0"), "node")
 
 
+def _alike_in(least: int):
+    """Pairs (a, b) of each node, of different balls, whose sketches agree in at least ``least`` places.
+
+    Rows come sorted by node and part, the few sets outside the largest ball first; the others pass by them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, balls, sketches = None, *_nothing()
+        for frame in frames:
+            if not len(frame):
+                continue
+            node, part = frame["node"].to_numpy(), frame["part"].to_numpy()
+            rep, ball, out = frame["rep"].to_numpy(), frame["ball"].to_numpy(), frame["out"].to_numpy()
+            sketch = np.concatenate(frame["sketch"].to_list()).reshape(-1, SIZE)
+            ends = np.append(np.flatnonzero((node[1:] != node[:-1]) | (part[1:] != part[:-1])) + 1, len(node))
+            found, low = [], 0
+            for high in ends.tolist():
+                if key != (node[low], part[low]):
+                    key, ids, balls, sketches = (node[low], part[low]), *_nothing()
+                inner = low + int(out[low:high].sum())
+                known = len(ids)
+                ids, balls = np.append(ids, rep[low:inner]), np.append(balls, ball[low:inner])
+                sketches = np.concatenate([sketches, sketch[low:inner]])
+                # Part 0 alone also compares the sets outside with each other, each pair when its later set arrives.
+                for start in range(low if key[1] == 0 else inner, high, 1024):
+                    stop = min(start + 1024, high)
+                    same = (sketch[start:stop, None, :] == sketches[None, :, :]).sum(axis=2) >= least
+                    same &= ball[start:stop, None] != balls[None, :]
+                    late, early = np.nonzero(same)
+                    at = start + late
+                    fresh = (at >= inner) | (early < known + at - low)
+                    found.append((rep[at[fresh]], ids[early[fresh]]))
+                low = high
+            if found:
+                x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
+
+
+def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, SIZE), dtype=np.int8)
+
+
+def _node_pairs(small: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Distinct alike pairs of nodes with at most ``LEAF`` sets outside their largest ball.
+
+    A large ball is cut into parts, and the sets outside it meet every part.
+    """
+    parts = F.ceil(F.col("size") / F.lit(SPLIT))
+    out = F.col("ball") != F.col("top")
+    part = F.when(out, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts)))
+    dealt = small.select("node", "rep", "ball", out.alias("out"), F.explode(part).alias("part")).join(sets.select("rep", "sketch"), "rep")
+    rows = dealt.repartition("node", "part").sortWithinPartitions("node", "part", F.desc("out"))
+    return rows.select("node", "part", "rep", "ball", "out", "sketch").mapInPandas(_alike_in(least), "a long, b long").distinct()
+
+
 def _pairs(sized: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node: the sets outside the largest ball against all others of another ball."""
+    """All pairs (a, b) of each node: the sets outside the largest ball against all others of another ball."""
     left = sized.filter("ball != top").select("node", F.col("rep").alias("x"), F.col("ball").alias("ball_x"))
     right = sized.select("node", F.col("rep").alias("y"), F.col("ball").alias("ball_y"), (F.col("ball") != F.col("top")).alias("both"))
     met = left.join(right, "node").filter("ball_x != ball_y and (not both or x < y)")
@@ -155,11 +219,11 @@ def _agreement(left: Column, right: Column) -> Column:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The distinct pairs (a, b) whose minwise values agree in at least ``least`` places."""
-    first = sets.select(F.col("rep").alias("a"), F.col("minima").alias("minima_a"))
-    second = sets.select(F.col("rep").alias("b"), F.col("minima").alias("minima_b"))
+    """The distinct pairs (a, b) whose sketches agree in at least ``least`` places."""
+    first = sets.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
+    second = sets.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
     met = pairs.distinct().join(first, "a").join(second, "b")
-    return met.filter(_agreement(F.col("minima_a"), F.col("minima_b")) >= least).select("a", "b")
+    return met.filter(_agreement(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
 
 
 def _ordered(left: Column, right: Column) -> list[Column]:
@@ -178,23 +242,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(100 * common >= percent * union).select("a", "b")
 
 
-def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (node, pivot, rep) of large nodes; the pivot agrees best with the node's modal minwise values."""
-    shown = dense.select("node", "rep").join(sets, "rep")
-    votes = shown.select("node", F.posexplode("minima").alias("at", "value")).groupBy("node", "at", "value").count()
+def _dense_pairs(dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Rows (pivot, rep) of large nodes whose sketches are alike; the pivot agrees best with the node's modal values."""
+    shown = stored(dense.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep"))
+    voters = shown.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / F.lit(VOTERS))) == 0)
+    votes = voters.select("node", F.posexplode("sketch").alias("at", "value")).groupBy("node", "at", "value").count()
     modes = votes.groupBy("node", "at").agg(F.max(F.struct("count", "value")).alias("top"))
     modal = modes.groupBy("node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("top.value").alias("value")))), lambda x: x["value"]).alias("modal")
     )
-    scored = shown.join(modal, "node").select("node", "rep", _agreement(F.col("minima"), F.col("modal")).alias("score"))
-    pivots = scored.groupBy("node").agg((-F.max(F.struct("score", -F.col("rep")))["col2"]).alias("pivot"))
-    return dense.select("node", "rep").join(pivots, "node").filter("rep != pivot")
+    # A node without a voter takes its smallest set as pivot.
+    agreed = F.coalesce(_agreement(F.col("sketch"), F.col("modal")), F.lit(0))
+    scored = shown.join(modal, "node", "left").select("node", (-F.col("rep")).alias("low"), agreed.alias("score"), "sketch")
+    pivots = scored.groupBy("node").agg(F.max(F.struct("score", "low", "sketch")).alias("top"))
+    pivots = pivots.select("node", (-F.col("top.low")).alias("pivot"), F.col("top.sketch").alias("pivot_sketch"))
+    met = shown.join(pivots, "node").filter((F.col("rep") != F.col("pivot")) & (_agreement(F.col("sketch"), F.col("pivot_sketch")) >= least))
+    return met.select("pivot", "rep")
 
 
 def _stars(dense: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, least: int) -> DataFrame:
     """Confirmed links (a, b) between the pivots and the other sets of large nodes, with the pivot."""
-    stars = stored(_dense_pairs(dense, sets).select(*_ordered(F.col("pivot"), F.col("rep")), "pivot").distinct())
-    true = confirmed(stored(_alike(stars.select("a", "b"), sets, least)), docs, percent)
+    stars = stored(_dense_pairs(dense, sets, least).select(*_ordered(F.col("pivot"), F.col("rep")), "pivot").distinct())
+    true = confirmed(stored(stars.select("a", "b").distinct()), docs, percent)
     return stored(stars.join(true, ["a", "b"]))
 
 
@@ -202,37 +271,31 @@ def _balls(sets: DataFrame, stars: DataFrame) -> DataFrame:
     """``sets`` with ball: the smallest pivot a set is linked to, so sets of one ball are connected; else the set itself."""
     own = stars.select(F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("rep"), "pivot")
     found = own.union(stars.select(F.col("pivot").alias("rep"), "pivot")).groupBy("rep").agg(F.min("pivot").alias("pivot"))
-    return sets.select("rep", "minima").join(found, "rep", "left").select("rep", "minima", F.coalesce("pivot", "rep").alias("ball"))
+    return sets.select("rep").join(found, "rep", "left").select("rep", F.coalesce("pivot", "rep").alias("ball"))
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b), a < b, that connect the different sets of ``sets`` (rep, minima)."""
+    """Confirmed links (a, b), a < b, that connect the different sets of ``sets`` (rep, minima, sketch)."""
     least = LEAST_AGREEMENT[percent / 100]
     trees = [F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees_for(percent / 100))]
-    nodes = sets.select("rep", F.explode(F.array(*trees)).alias("node"))
-    sets = sets.select("rep", "minima", F.col("rep").alias("ball"))
-    sized, found, known = None, [], []
+    nodes = sets.select("rep", F.col("rep").alias("ball"), "minima", F.explode(F.array(*trees)).alias("node"))
+    small, stars = [], None
     for level in range(1, DEPTH + 1):
-        sized = stored(_sized(_children(nodes, sets)))
-        large = sized.filter(F.col("outside") > LEAF)
+        sized = stored(_sized(_children(nodes)))
         if level in STAR_LEVELS:
-            star = _stars(large.select("node", "rep"), sets, docs, percent, least)
-            known.append(star.select("a", "b"))
-            sets = stored(_balls(sets, star if len(known) == 1 else star.union(earlier)))
-            earlier = star if len(known) == 1 else star.union(earlier)
-            again = sized.select("node", "rep").join(sets.select("rep", "ball"), "rep")
-            sized = stored(_sized(again.select("rep", "ball", "node")))
-            large = sized.filter(F.col("outside") > LEAF)
-        found.append(_pairs(sized.filter(F.col("outside") <= LEAF)))
-        nodes = large.select("node", "rep")
-    found.append(_pairs(large))  # dense and unlinked: compared exhaustively, so that no link is lost
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    true = confirmed(stored(_alike(pairs, sets, least)), docs, percent)
-    for star in known:
-        true = true.union(star)
-    return stored(true.distinct())
+            star = _stars(sized.filter(F.col("outside") > LEAF), sets, docs, percent, least)
+            stars = star if stars is None else stars.union(star)
+            balls = _balls(sets, stars)
+            sized = stored(_sized(sized.select("node", "rep").join(balls, "rep").select("node", "rep", "ball")))
+        small.append(sized.filter(F.col("outside") <= LEAF).select("node", "rep", "ball", "top", "size"))
+        large = sized.filter(F.col("outside") > LEAF)
+        nodes = large.select("node", "rep", "ball").join(sets.select("rep", "minima"), "rep")
+    true = confirmed(stored(_node_pairs(reduce(DataFrame.union, small), sets, least)), docs, percent)
+    # Dense and unlinked to the last level: compared exhaustively, so that no link is lost.
+    last = stored(_alike(_pairs(large), sets, least))
+    if not last.isEmpty():
+        true = true.union(confirmed(last, docs, percent))
+    return stored(true.union(stars.select("a", "b")).distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -266,9 +329,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(signatures(own))
     known = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = stored(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")))
-    ids = sets.select("rep", "minima")
-    classes = components(links(own.filter(F.col("doc_id").isNotNull()), ids, percent))
+    sets = stored(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")))
+    classes = components(links(own.filter(F.col("doc_id").isNotNull()), sets.drop("mark"), percent))
     marks = sets.join(classes, F.col("rep") == F.col("vertex"), "left").select(
         F.col("mark").alias("of_mark"), F.coalesce("component", "rep").alias("component")
     )
