@@ -951,26 +951,26 @@ def constraint_checks(spark, folder):
 @query
 def stream_fulfil(spark, folder):
     orders = ST.read_table_stream(spark, folder, "orders", schemas.ORDERS)
-    return ST.drain(ST.stream_fulfil(S.notices_from(orders)))
+    return ST.drain(ST.stream_fulfil(S.notices_from(orders)), ["payment_id"])
 
 
 @query
 def stream_ip_usage(spark, folder):
     events = ST.read_table_stream(spark, folder, "events", schemas.EVENTS)
-    return ST.drain(ST.stream_ip_usage(S.usage_from_events(events)))
+    return ST.drain(ST.stream_ip_usage(S.usage_from_events(events)), ["ip", "usage_date"])
 
 
 @query
 def stream_job_state(spark, folder):
     events = ST.read_table_stream(spark, folder, "events", schemas.EVENTS)
-    return ST.drain(ST.stream_job_state(S.job_events_from(events)))
+    return ST.drain(ST.stream_job_state(S.job_events_from(events)), ["job_id"])
 
 
 @query
 def stream_classify(spark, folder):
     documents = ST.read_table_stream(spark, folder, "documents", schemas.DOCUMENTS)
     pages = S.pages_from_text(documents).withColumn("ocr_text", F.lit(None).cast("string"))
-    return ST.drain(ST.stream_classify(pages, RULES), "append")
+    return ST.drain(ST.stream_classify(pages, RULES))
 
 
 def named_queries() -> dict[str, Query]:

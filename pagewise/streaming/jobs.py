@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
@@ -82,18 +83,30 @@ def group_landed_documents(classified: DataFrame, write: Callable[[DataFrame, in
     return writer.options(**options).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over everything that is there and return its result, kept in the shared folder.
+def upserted(stream: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """Run a keyed stream over everything that is there; the newest row of each key, from this run and earlier ones.
 
-    ``complete`` rewrites the result table with every batch, ``append`` adds files to it.
+    Each batch adds only the rows it changed, under its own number, so a batch that is repeated after a failure
+    replaces itself. A later call with the same ``folder`` goes on where this one ended.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     result, progress = f"{folder}/result", f"{folder}/progress"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", result).start()
-    else:
-        query = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(result)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(result)
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{result}/batch={epoch}")).start().awaitTermination()
+    changes = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(result)
+    others = [name for name in stream.columns if name not in keys]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
+    return newest.select(*keys, "row.*").select(stream.columns)
+
+
+def appended(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stateless stream over everything that is there; its rows from this run and earlier ones."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{folder}/result").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
+
+
+def drain(stream: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The result of a stream over everything that is there, kept in the shared folder; keyed where ``keys`` are named."""
+    folder = f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
+    return upserted(stream, keys, folder) if keys else appended(stream, folder)
