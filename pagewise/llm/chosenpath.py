@@ -50,8 +50,8 @@ VOTERS = 64
 #: Levels whose large nodes get pivots.
 STAR_LEVELS = (2,)
 TARGET_RECALL = 0.99999
-#: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 of 64.
-LEAST_AGREEMENT = {0.85: 40, 0.80: 37}
+#: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 or 0.80 of 64.
+LEAST_AGREEMENT = {0.85: 40, 0.80: 35}
 #: Words whose hash a worker remembers before it starts over.
 REMEMBERED = 500_000
 

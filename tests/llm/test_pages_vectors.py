@@ -111,3 +111,22 @@ def test_pipeline_takes_every_decision(spark, tmp_path):
     one = [f for name, f in corpus_pipeline.STAGES if name == "near duplicates"][0]
     assert one(spark, docs, str(tmp_path)).columns == docs.columns
     assert packing.WINDOW == 1024 and chosenpath.SHINGLE == 5
+
+
+def test_pipeline_links_documents_alike_by_four_fifths(spark, tmp_path):
+    from tests.llm.test_text_operators import prose, shingles
+
+    rows = [(200 + i, prose(200 + i), "en", "b", 1) for i in range(30)]
+    for i in range(15):  # two of 120 words changed: 0.80 to 0.85
+        near = rows[i][1].split(" ")
+        near[30], near[70] = "changed", "words"
+        rows.append((300 + i, " ".join(near), "en", "b", 1))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.80 <= x < 0.85 for x in alike.values()) == 15
+    expected = set(sets) - {b for (_, b), x in alike.items() if x >= 0.80}
+    one = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert {r.doc_id for r in one(spark, docs, str(tmp_path)).collect()} == expected
+    assert {r.doc_id for r in chosenpath.near_duplicates(docs).filter("kept").collect()} == set(sets)
