@@ -5,6 +5,10 @@ Trees are grown on a bounded sample: a node is split by the hyperplane halfway b
 queue over all trees, ordered by how far it lies on the wrong side of the hyperplanes passed, and takes leaves from it
 until they hold a set share of the vectors. The vectors of those leaves are ranked by exact Euclidean distance.
 
+Equal vectors are one vector with several ids: the sample, the leaves and the share count it once, so a vector that many rows
+repeat does not use up a query's share. A vector keeps its smallest ids, one more than neighbours are asked for: no answer
+can hold others, as a query leaves out no other id than its own.
+
 Vectors are dealt into chunks of bounded size, whatever their leaves, so a leaf may hold any share of the table and a vector
 is shuffled once, not once a tree. Each chunk keeps its own lists of leaf members; a query visits every chunk with the leaves
 it has chosen, and the best of all chunks are its neighbours.
@@ -18,12 +22,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -36,7 +40,7 @@ TREES = 16
 LEAF_ROWS = 64
 #: Bound of the sample the trees are grown on; all other steps see every row.
 SAMPLE_ROWS = 20_000
-#: A query's leaves hold this share of the table, copies over trees counted, and at least so many vectors. Vectors without
+#: A query's leaves hold this share of the different vectors, copies over trees counted, and at least so many. Vectors without
 #: cluster structure need a large share for a recall of 0.9; clustered ones do with a small one.
 SEARCH_SHARE = 0.75
 SEARCH_ROWS = 4_000
@@ -125,46 +129,69 @@ def searched(forest: list[Tree], sizes: dict[int, int], starts: list[int], query
     return found
 
 
-def _place(forest: list[Tree], starts: list[int]):
+def _place(forest: list[Tree], starts: list[int], kept: int):
+    """The different vectors of each batch, their mark, their leaves and their ``kept`` smallest ids."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            same = pd.DataFrame({"id": frame["vec_id"], "bytes": [v.tobytes() for v in frame["vector"]]}).duplicated().to_numpy()
-            frame = frame[~same]
-            if len(frame):
-                vectors = np.stack(frame["vector"].to_list()).astype(np.float64)
-                leaves = np.stack([tree.leaf_of(vectors) + first for tree, first in zip(forest, starts, strict=True)], axis=1)
-                yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy(), "vector": frame["vector"].to_list(), "leaves": list(leaves.astype(np.int32))})
+            if not len(frame):
+                continue
+            vectors = np.stack(frame["vector"].to_list()) + 0.0  # no negative zeros
+            number = pd.factorize(pd.Series([v.tobytes() for v in vectors]))[0]
+            of, ids = _smallest(number, frame["vec_id"].to_numpy(), kept)
+            ends = np.flatnonzero(np.diff(of)) + 1
+            first = np.unique(number, return_index=True)[1]
+            marks = [xxhash.xxh64_intdigest(v.tobytes()) - 2**63 for v in vectors[first]]
+            own = vectors[first].astype(np.float64)
+            leaves = np.stack([tree.leaf_of(own) + start for tree, start in zip(forest, starts, strict=True)], axis=1)
+            yield pd.DataFrame(
+                {"mark": marks, "ids": np.split(ids, ends), "vector": list(vectors[first]), "leaves": list(leaves.astype(np.int32))}
+            )
 
     return run
 
 
+def _smallest(of: np.ndarray, ids: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``of`` and ``ids``, sorted and each once, cut to the ``kept`` smallest ids of each ``of``."""
+    order = np.lexsort((ids, of))
+    of, ids = of[order], ids[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])
+    of, ids = of[new], ids[new]
+    within = np.arange(len(of)) - np.searchsorted(of, of, "left") < kept
+    return of[within], ids[within]
+
+
 def _probe(forest: list[Tree], starts: list[int], sizes: dict[int, int], rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             chosen = [np.array(searched(forest, sizes, starts, v.astype(np.float64), rows), dtype=np.int32) for v in frame["vector"]]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "vector": frame["vector"], "leaves": chosen})
+            yield pd.DataFrame({"mark": frame["vec_id"], "ids": [None] * len(frame), "vector": frame["vector"], "leaves": chosen})
 
     return run
 
 
 class Chunk:
-    """Some vectors of the table and, by leaf, which of them it holds."""
+    """Some different vectors of the table with their ids and, by leaf, which of them it holds."""
 
-    def __init__(self):
+    def __init__(self, kept: int):
         self.frames: list[pd.DataFrame] = []
+        self.kept = kept
         self.ids: np.ndarray | None = None
 
     def add(self, frame: pd.DataFrame) -> None:
-        self.frames.append(frame[["vec_id", "vector", "leaves"]])
+        self.frames.append(frame[["ids", "vector", "leaves"]])
 
     def close(self) -> None:
-        """After the last vector: equal rows, which arrive together, become one; leaf members are listed."""
+        """After the last vector: equal ones, which arrive together, become one; leaf members are listed."""
         if self.ids is None and self.frames:
             rows = pd.concat(self.frames, ignore_index=True)
-            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_list())
-            new = np.ones(len(ids), dtype=bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
-            self.ids, self.vectors = ids[new], vectors[new]
+            vectors = np.stack(rows["vector"].to_list())
+            new = np.ones(len(vectors), dtype=bool)
+            new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
+            number = np.cumsum(new) - 1
+            self.of, self.ids = _smallest(np.repeat(number, rows["ids"].map(len)), np.concatenate(rows["ids"].to_list()), self.kept)
+            self.vectors = vectors[new]
             leaves = np.stack(rows["leaves"].to_list())[new]
             order = np.argsort(leaves, axis=None, kind="stable")
             self.leaves, self.rows = leaves.ravel()[order], order // leaves.shape[1]
@@ -175,12 +202,15 @@ class Chunk:
         low, high = np.searchsorted(self.leaves, leaves, "left"), np.searchsorted(self.leaves, leaves, "right")
         n = high - low
         within = np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.empty(0, dtype=np.int64)
-        seen = np.zeros(len(self.ids), dtype=bool)
+        seen = np.zeros(len(self.vectors), dtype=bool)
         seen[self.rows[within]] = True
-        at = np.flatnonzero(seen & (self.ids != query))
-        score = np.sqrt(((self.vectors[at].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
-        order = np.lexsort((self.ids[at], score))
-        ids = self.ids[at][order]
+        at = np.flatnonzero(seen)
+        far = np.full(len(seen), np.nan)
+        far[at] = np.sqrt(((self.vectors[at].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(axis=1))
+        own = np.flatnonzero(seen[self.of] & (self.ids != query))
+        score = far[self.of[own]]
+        order = np.lexsort((self.ids[own], score))
+        ids = self.ids[own][order]
         # An id that stands on several different vectors counts with its nearest.
         first = np.sort(np.unique(ids, return_index=True)[1])[:count]
         return ids[first], score[order][first]
@@ -188,18 +218,18 @@ class Chunk:
 
 def _rank(nearest: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, chunk = None, Chunk()
+        number, chunk = None, Chunk(nearest + 1)
         for frame in frames:
             for (here, asks), rows in frame.groupby(["chunk", "asks"]):
                 if here != number:
-                    number, chunk = here, Chunk()
+                    number, chunk = here, Chunk(nearest + 1)
                 if not asks:
                     chunk.add(rows)
                     continue
                 chunk.close()
                 if chunk.ids is None:
                     continue
-                found = [(q, *chunk.nearest(q, v, leaves, nearest)) for q, v, leaves in rows[["vec_id", "vector", "leaves"]].itertuples(index=False, name=None)]
+                found = [(q, *chunk.nearest(q, v, leaves, nearest)) for q, v, leaves in rows[["mark", "vector", "leaves"]].itertuples(index=False, name=None)]
                 yield pd.DataFrame(
                     {
                         "query_id": np.repeat([q for q, _, _ in found], [len(ids) for _, ids, _ in found]),
@@ -232,27 +262,33 @@ def neighbours(
     """query_id, rank, vec_id, score: the nearest found of each query, a row whose id is divisible by ``step``."""
     spark = vectors.sparkSession
     rows = valid(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()["vector"].to_numpy()
-    if not len(sample):
+    seen = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("vector")).alias("different"))
+    widths = seen.collect()
+    if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = Counter(map(len, sample)).most_common(1)[0][0]
+    width, _, different = max(widths, key=lambda r: (r["n"], -r["width"]))
     rows = rows.filter(F.size("vector") == width)
-    forest = grown(np.stack([v for v in sample if len(v) == width]).astype(np.float64), trees)
+    # A sample of the different vectors: about twice as many by their hash, so that copies meet before the shuffle.
+    drawn = F.pmod(F.xxhash64("vector", F.lit("drawn")), F.lit(1 << 30)) <= min(1.0, 2 * sample_rows / max(different, 1)) * (1 << 30)
+    drawn = rows.filter(drawn).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(sample_rows)
+    forest = grown(np.stack(drawn.toArrow()["vector"].to_numpy()).astype(np.float64), trees)
     starts = [0, *accumulate(tree.leaves for tree in forest)][:-1]
-    shape = f"vec_id long, vector {rows.schema['vector'].dataType.simpleString()}, leaves array<int>"
-    index = stored(rows.mapInPandas(_place(forest, starts), shape))
+    shape = f"mark long, ids array<long>, vector {rows.schema['vector'].dataType.simpleString()}, leaves array<int>"
+    index = stored(rows.mapInPandas(_place(forest, starts, nearest + 1), shape))
     # As many leaves as the trees have, whose number the sample bounds.
-    sizes = {r["leaf"]: r["count"] for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    once = index.groupBy("mark").agg(F.first("leaves").alias("leaves"))
+    sizes = {r["leaf"]: r["count"] for r in once.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
     total = sum(sizes.values()) // trees
     search_rows = max(search_rows, math.ceil(search_share * total))
     chunks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / CHUNK_ROWS))
-    queries = index.filter(F.col("vec_id") % step == 0).select("vec_id", "vector").distinct()
+    queries = rows.filter(F.col("vec_id") % step == 0).select("vec_id", "vector").distinct()
     probes = stored(queries.mapInPandas(_probe(forest, starts, sizes, search_rows), shape))
-    names = ["chunk", "asks", "vec_id", "vector", "leaves"]
-    members = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
+    # Of a vector, "mark" is its hash; of a query, it is the query's id.
+    names = ["chunk", "asks", "mark", "ids", "vector", "leaves"]
+    members = index.withColumn("chunk", F.pmod(F.xxhash64("mark"), F.lit(chunks)).cast("int")).withColumn("asks", F.lit(False))
     asked = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("asks", F.lit(True))
     met = members.select(names).union(asked.select(names)).repartition(chunks, "chunk")
-    met = met.sortWithinPartitions("chunk", "asks", "vec_id", F.xxhash64("vector"))
+    met = met.sortWithinPartitions("chunk", "asks", "mark", F.xxhash64("vector"))
     found = met.mapInPandas(_rank(nearest), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -95,6 +95,33 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_neighbours_beside_a_vector_of_a_third_of_the_rows(spark):
+    draw = np.random.default_rng(6)
+    vectors = draw.normal(size=(8000, 24)).astype(np.float32)
+    vectors[0], vectors[1] = 0.0, -0.0
+    vectors[:2, 0] = 1.0  # equal but for the sign of zeros
+    ids = np.concatenate([np.arange(1, 8001), np.arange(20_000, 24_000)])
+    every = np.concatenate([vectors, np.repeat(vectors[:1], 4000, axis=0)])
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, every, strict=True)]
+    frame = spark.createDataFrame([*rows, *rows[-500:]], "vec_id long, embedding array<float>")
+    got = {}
+    for r in forest.neighbours(frame, search_rows=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
+    hits = []
+    for query, mine in got.items():
+        score = np.sqrt(((every.astype(float) - every[ids == query][0]) ** 2).sum(axis=1))
+        order = np.lexsort((ids, score))
+        best = [int(i) for i in ids[order] if i != query][:10]
+        found = [i for _, i, _ in sorted(mine)]
+        assert len(set(found)) == 10
+        if query >= 20_000:  # a copy: the copies with the smallest ids, itself left out
+            assert found == best == [1, 2, *range(20_000, 20_009)][:10] if query > 20_008 else found == best
+        else:
+            hits.append(len(set(best) & set(found)))
+    assert np.mean(hits) >= 9 and min(hits) >= 5
+
+
 def test_pipeline_takes_every_decision(spark, tmp_path):
     from tests.llm.test_text_operators import brute_components, odd_rows, prose
 
