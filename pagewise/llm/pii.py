@@ -7,9 +7,12 @@ different ones stay different. It is a Feistel network over a near-square grid t
 range are permuted again.
 
 Kinds: e-mail (the part before the at sign, letters as letters, digits as digits), IPv4, telephone (a plus sign and 8 to
-15 digits; the country digits stay), payment card (13 to 19 digits, Luhn), IBAN (mod 97), US social security number,
+15 digits, 11 of the country +1 where a group ends there; the country digits stay), payment card (13 to 19 digits, Luhn), IBAN (mod 97), US social security number,
 dates from 1900 to 2099 (ISO, or day and month with points or slashes).
 
+A card, telephone number or IBAN beside another number (a security code, an expiry date, an order number) is found by the
+ends of its groups; if none is valid, the search goes on after the first group.
+
 Defined cases: a null text stays null and an empty one empty; numbers that fail validation stay as they are. Repeated rows
 give equal results. Other columns are carried, whatever their names. An empty table stays empty.
 """
@@ -44,6 +47,13 @@ FOUND = re.compile(
     |(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?!\d))""",
     re.X | re.A,
 )
+DIGITS = re.compile(r"\d+", re.A)
+#: Cards of the issuers 3 to 6 and 22 to 27 in groups of four digits or more, the last of three; and the usual groups.
+CARD_GROUPS = re.compile(r"(?=[3-6]|2[2-7])(?=(?:[ -]?\d){13})(?!(?:[ -]?\d){20})\d{4,}(?:[ -]\d{4,})*(?:[ -]\d{3})?", re.A)
+CARD_LAYOUT = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}[ -]\d{4}[ -]\d{5}", re.A)
+PLUS_ONE = re.compile(r"\+1(?!\d)|\+1\d{10}(?!\d)", re.A)
+#: A plus sign alone: the digits after it may be a card.
+FIRST_GROUP = re.compile(r"\+|[A-Z0-9]+", re.A)
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
@@ -84,9 +94,14 @@ def luhn_digit(payload: str) -> str:
     return str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
 
 
+def is_card(found: str) -> bool:
+    plain = re.sub("[ -]", "", found)
+    return luhn_digit(plain[:-1]) == plain[-1]
+
+
 def card(found: str, key: bytes) -> str | None:
     plain = re.sub("[ -]", "", found)
-    if luhn_digit(plain[:-1]) != plain[-1]:
+    if not is_card(found):
         return None
     payload = plain[0] + _digits(plain[1:-1], key, "card")
     return _refill(found, payload + luhn_digit(payload))
@@ -157,9 +172,47 @@ def email(found: str, key: bytes) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
+def card_ends(text: str, start: int, stop: int) -> list[int]:
+    """Where a card that begins at ``start`` ends: ``stop``, or before it if other numbers follow.
+
+    Runs of groups as cards have them come first; if one begins after ``start`` and before ``stop``, no other is taken.
+    """
+    groups, at = [], start
+    while at < stop + 20 and (group := DIGITS.match(text, at)):
+        groups.append(group.span())
+        at = group.end() + 1
+        if text[at - 1 : at] not in (" ", "-"):
+            break
+    for i, (low, first) in enumerate(groups):
+        if low >= stop:
+            break
+        if first - low < 4:
+            continue
+        ends = [high for _, high in groups[i : i + 19] if CARD_GROUPS.fullmatch(text, low, high)]
+        ends.sort(key=lambda high: (CARD_LAYOUT.fullmatch(text, low, high) is None, -high))
+        if right := [high for high in ends if is_card(text[low:high])]:
+            return right if i == 0 else []
+    return [stop]
+
+
+def phone_ends(text: str, start: int, stop: int) -> list[int]:
+    """Ends of groups, the last first; numbers of the country +1 have ten more digits, so such an end comes before all."""
+    ends = [at for at in range(stop, start, -1) if text[at - 1].isdigit() and not text[at : at + 1].isdigit()]
+    if PLUS_ONE.match(text, start):
+        ends.sort(key=lambda at: sum(map(str.isdigit, text[start:at])) != 11)
+    return ends
+
+
+def iban_ends(text: str, start: int, stop: int) -> list[int]:
+    """``stop``, or a space before it from which the shortest IBAN, of 15 signs, is full."""
+    return [stop, *(at for at in range(stop - 1, start, -1) if text[at] == " " and at - start - text.count(" ", start, at) >= 15)]
+
+
 KINDS: dict[str, Callable[[str, bytes], str | None]] = {
     "email": email, "iban": iban, "phone": phone, "ssn": ssn, "date": date, "ip": ip, "card": card
 }
+#: Kinds whose pattern may reach into a neighbouring number.
+ENDS: dict[str, Callable[[str, int, int], list[int]]] = {"card": card_ends, "phone": phone_ends, "iban": iban_ends}
 
 
 def replaced(text: str | None, key: bytes) -> tuple[str | None, int, list[str]]:
@@ -168,15 +221,22 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, int, list[str]]:
         return text, 0, []
     kinds: list[str] = []
 
-    def one(match: re.Match[str]) -> str:
-        other = KINDS[match.lastgroup](match.group(), key)
-        if other is None:
-            return match.group()
-        kinds.append(match.lastgroup)
-        return other
-
-    out = FOUND.sub(one, text)
-    return out, len(kinds), sorted(set(kinds))
+    out: list[str] = []
+    done = at = 0
+    while match := FOUND.search(text, at):
+        kind, (start, at) = match.lastgroup, match.span()
+        for end in ENDS[kind](text, start, at) if kind in ENDS else (at,):
+            if other := KINDS[kind](text[start:end], key):
+                out += text[done:start], other
+                kinds.append(kind)
+                done = at = end
+                break
+        else:
+            # Another value may begin after the first group.
+            if kind in ENDS:
+                at = FIRST_GROUP.match(text, start).end()
+    out.append(text[done:])
+    return "".join(out), len(kinds), sorted(set(kinds))
 
 
 def pseudonyms(text: Column, key: bytes = DEFAULT_KEY) -> Column:

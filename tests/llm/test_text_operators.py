@@ -217,6 +217,25 @@ def test_pseudonyms_keep_format_and_links(spark, documents):
     assert [r.text for r in rows.orderBy("doc_id").collect()] == [None, "", out, out]
 
 
+def test_pseudonyms_of_values_beside_other_numbers():
+    for shown in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424"):
+        alone = pii.replaced(shown, b"k")[0]
+        assert alone != shown
+        for text in ("{} 123", "{} 1234", "{} 12/27", "{} 12 27 123", "12 {}", "12345 {}", "12/27 {}", "AB12 {}", "{} 2021", "1 2 3 {} 4 5 6", "{} {}"):
+            out, _, kinds = pii.replaced(text.format(shown, shown), b"k")
+            assert out == text.format(alone, alone) and kinds == ["card"], (text, shown, out)
+    for text in ("{} 66", "{} 2024", "{} 2024 66", "{} 4111 1111", "{}-7", "{} 1 2 3"):
+        out, n, kinds = pii.replaced(text.format("+1 (171) 555-2028"), b"k")
+        assert out == text.format(pii.replaced("+1 (171) 555-2028", b"k")[0]) and (n, kinds) == (1, ["phone"])
+    for shown in ("GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00"):
+        alone = pii.replaced(shown, b"k")[0]
+        for text in ("{} AND", "{} 12", "{} 123 4567"):
+            assert alone != shown and pii.replaced(text.format(shown), b"k")[0] == text.format(alone), (text, shown)
+    years = "2019 2020 2021 2022 2023 2024 2025"
+    assert pii.replaced(years, b"k")[0] == years
+    assert pii.replaced("4111111111111112 123, +999 1, 2021-02-28", b"k")[2] == ["date"]
+
+
 def test_licence_expressions_and_places(spark, documents):
     assert licenses.postfix("mit or bsd and gpl") == ["mit", "bsd", "gpl", "and", "or"]
     assert licenses.alternatives("(mit or bsd) and gpl with classpath") == [frozenset({"mit", "gpl with classpath"}), frozenset({"bsd", "gpl with classpath"})]
