@@ -4,7 +4,9 @@ The container elements of all pages of a host are merged by their path of tags,
 node has a presentation importance, the entropy of the ways its children are laid out, and a content importance, one minus
 how evenly its content spreads over the pages: what every page repeats tells nothing. A node's importance weighs both.
 Elements that state their role are given it: article and main elements are important, and menus, headers, footers, asides,
-forms and the like, or containers whose class says so, are not. Among the others, branches of low importance are removed.
+forms and the like, or containers one of whose classes says nothing else, are not. Among the others, also those whose class
+only contains such a word, branches of low importance are removed. A class never makes a body, a main element or a page's
+article unimportant.
 
 A page with an article (else a main element, else a container named as content) is its text; other pages are all their text
 outside removed branches. Text is cut into blocks at block-level tags and line breaks.
@@ -63,32 +65,44 @@ CONTENT_WORDS = frozenset("article articlebody post entry story content main bod
 WORD = re.compile("[a-z0-9]+")
 
 
-def _attributes(text: str) -> tuple[str, frozenset[str]]:
-    """A style key and the words of class, id and role."""
-    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)] if text else []
-    names = " ".join(value for name, value in found if name in ("class", "id"))
-    words = frozenset(WORD.findall(" ".join(value for _, value in found).lower()))
-    return re.sub(r"\d{2,}", "0", names.lower()), words | ({"hidden"} if any(name == "hidden" for name, _ in found) else frozenset())
+#: Elements that hold a page's text whatever words their classes contain.
+HOLDERS = frozenset("html body main article".split())
 
 
-def _role(tag: str, words: frozenset[str], inside: bool) -> str:
-    """content, noise or unknown; ``inside`` an article its own header is content."""
-    own_header = inside or bool(words & {"article", "entry", "post", "story"})
-    noise = words & NOISE_WORDS
-    if noise - {"header"} or ("header" in noise and not own_header) or "hidden" in words:
-        return "noise"
+def _attributes(text: str) -> tuple[str, list[frozenset[str]], bool]:
+    """A style key, the words of each class, id and role, and whether the element is hidden."""
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)] if text else []
+    names = " ".join(value for name, value in found if name in ("class", "id"))
+    tokens = [frozenset(WORD.findall(token)) for token in " ".join(value for _, value in found).lower().split()]
+    hidden = any(name == "hidden" for name, _ in found)
+    return re.sub(r"\d{2,}", "0", names.lower()), tokens, hidden
+
+
+def _role(tag: str, tokens: list[frozenset[str]], hidden: bool, inside: bool, nested: bool) -> tuple[str, bool]:
+    """content, noise or unknown, and whether a class contains a noise word besides others.
+
+    ``inside`` an article its own header is content; ``nested`` is an article in another, or in a container with such a class.
+    """
+    own_header = inside or any(token & {"article", "entry", "post", "story"} for token in tokens)
+    noise_words = NOISE_WORDS - {"header"} if own_header else NOISE_WORDS
+    noise = [token & noise_words for token in tokens]
+    holder = tag in HOLDERS and not (tag == "article" and nested)
+    whole = any(n and all(word in n or word.isdigit() for word in token) for n, token in zip(noise, tokens, strict=True))
+    if hidden or (not holder and (whole or frozenset({"hidden"}) in tokens)):
+        return "noise", False
     if tag in NOISE_TAGS and not (tag == "header" and own_header):
-        return "noise"
-    if tag in ("article", "main") or words & CONTENT_WORDS:
-        return "content"
-    return "unknown"
+        return "noise", False
+    if tag in ("article", "main") or any(token & CONTENT_WORDS and not n for n, token in zip(noise, tokens, strict=True)):
+        return "content", False
+    return "unknown", any(noise) and not holder
 
 
 class _Open:
-    __slots__ = ("children", "content", "judged", "kind", "path", "region", "role", "tag")
+    __slots__ = ("children", "content", "doubted", "judged", "kind", "path", "region", "role", "tag", "weighed")
 
-    def __init__(self, tag, path, role, kind, region, judged):
+    def __init__(self, tag, path, role, kind, region, judged, weighed=True, doubted=False):
         self.tag, self.path, self.role, self.kind, self.region, self.judged = tag, path, role, kind, region, judged
+        self.weighed, self.doubted = weighed, doubted
         self.children, self.content = [], xxhash.xxh64()
 
 
@@ -112,7 +126,7 @@ def read_page(html: str) -> tuple[list[tuple[str, int, list[int]]], list[tuple[i
     def close() -> None:
         flush()
         done = stack.pop()
-        if done.tag not in LEAF:
+        if done.weighed:
             nodes.append((_hash(done.path), _hash(",".join(done.children)), done.content.intdigest() - 2**63))
 
     while at < length:
@@ -158,18 +172,20 @@ def read_page(html: str) -> tuple[list[tuple[str, int, list[int]]], list[tuple[i
                         close()
                     break
         flush()
-        style, words = _attributes(match[3])
+        style, tokens, hidden = _attributes(match[3])
         above = stack[-1]
-        role = above.role if above.role == "noise" else _role(tag, words, above.region > 0)
+        role, doubted = _role(tag, tokens, hidden, above.region > 0, above.region == 3 or above.doubted)
+        if above.role == "noise":
+            role, doubted = "noise", False
         kind = 0
         if role == "content":
-            kind = 3 if tag == "article" else 2 if tag == "main" or "main" in words else 1
+            kind = 3 if tag == "article" else 2 if tag == "main" or any("main" in token for token in tokens) else 1
         path = f"{above.path}/{tag}.{style}"
         judged = above.judged
-        if role == "unknown" and tag not in LEAF and (style or not above.region):
+        if role == "unknown" and (doubted or tag not in LEAF and (style or not above.region)):
             judged = (*judged, _hash(path))
         above.children.append(f"{tag}.{style}")
-        stack.append(_Open(tag, path, role, kind, max(above.region, kind), judged))
+        stack.append(_Open(tag, path, role, kind, max(above.region, kind), judged, doubted or tag not in LEAF, doubted or above.doubted))
     while stack:
         close()
     best = max((region for _, region, _ in blocks), default=0)

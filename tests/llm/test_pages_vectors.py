@@ -33,6 +33,30 @@ def test_page_text(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='has-sidebar'><p>text</body>", "text"),
+        ("<body class='header-fixed no-comments'><div><p>text</div></body>", "text"),
+        ("<body class=sidebar><main class='search' id=menu><p>text</main></body>", "text"),
+        ("<article class='post comments-open'><p>text<div class='comments'>c</div></article>", "text"),
+        ("<article class='post'>text<article class='comment'>c</article></article>", "text"),
+        ("<article>text<ol class='comment-list'><article class='comment'>c</article></ol></article>", "text"),
+        ("<div class='overflow-hidden'>text</div><div class=hidden>h</div><div id=ad-12>a</div><p hidden>i", "text"),
+    ],
+)
+def test_page_text_under_classes_with_noise_words(html, text):
+    assert text_of(html) == text
+
+
+def test_classes_that_contain_a_noise_word_are_judged(spark):
+    def html(i):
+        return f"<body class='has-sidebar'><div class='no-sidebar'><p>Own words {i}</div><div class='share-box'>Share</div><p class='site-copyright'>All rights</body>"
+
+    got = sitetree.main_text(spark.createDataFrame([(i, f"http://h.example/{i}", html(i)) for i in range(8)], PAGE)).collect()
+    assert {r.text for r in got} == {f"Own words {i}" for i in range(8)}
+
+
 def test_unnamed_repeated_branches_go(spark):
     def html(i):
         return f"<body><div id=x1><p>Same words on every page</div><div id=x2><p>Own words {i}</div></body>"
