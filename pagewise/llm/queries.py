@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pagewise.llm import chosenpath, forest, leaks, licenses, mixing, packing, pii, quality, sitetree, warc
+from pagewise.llm import chosenpath, forest, leaks, licenses, mixing, packing, pii, quality, radix, simhash, sitetree, warc, whitening
 from pagewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,17 @@ def llm_queries() -> dict[str, Query]:
         "op8_nnls_packing": lambda spark, folder: packing.pack(table(spark, folder, "documents")),
         "op9_warc_archives": lambda spark, folder: warc.archive_digest(table(spark, folder, "pages")),
         "op10_quality_cascade": lambda spark, folder: quality.quality_digest(table(spark, folder, "documents")),
+        "op11_multi_index_simhash": lambda spark, folder: simhash.simhash_classes(table(spark, folder, "documents")),
+        "op12_radix_prefix_trie": lambda spark, folder: radix.prefix_trie(table(spark, folder, "conversations")),
+        "op13_exact_whitening": lambda spark, folder: whitening.whitened(table(spark, folder, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op3_chosen_path": chosenpath.ORACLE, "op6_projection_forest": forest.ORACLE, "op10_quality_cascade": quality.ORACLE}
+    return {
+        "op3_chosen_path": chosenpath.ORACLE,
+        "op6_projection_forest": forest.ORACLE,
+        "op10_quality_cascade": quality.ORACLE,
+        "op12_radix_prefix_trie": radix.ORACLE,
+    }
