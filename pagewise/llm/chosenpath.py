@@ -3,16 +3,18 @@
 A document is the set of its 5-word shingles, seen through ``SIZE`` minwise hash values. A tree starts with all sets in
 one node. Each node draws one or two minwise coordinates at random; a child holds the sets that agree in one of them.
 Nodes of at most ``LEAF`` sets are compared exhaustively, inside the task that holds the node, on one byte of each minwise
-value; only pairs that agree often enough leave it. The chance that a pair of a given similarity stays together on some
-path of any length is a fixed point of the branching; independent trees repeat this until the target recall is met
-(``trees_for``).
+value. The chance that a pair of a given similarity stays together on some path of any length is a fixed point of the
+branching; independent trees repeat this until the target recall is met (``trees_for``).
 
-Nodes that stay large are dense: their sets resemble each other. At one level the set of a large node nearest to its modal
-minwise values is its pivot, and every member is compared with it. The sets linked to a pivot are its ball and connected
-already, so pairs inside a ball are not looked at again: a node is finished when at most ``LEAF`` of its sets lie outside its
-largest ball, by comparing those with all others. Work grows with the members of a node, not with their pairs; only sets
-that resemble each other down to the last level and are linked to no pivot are still compared exhaustively. Every link is
-confirmed on the full sets.
+Two sets whose bytes agree often enough are candidates. The trees only have to find the classes of candidates, so a node
+gives no pairs but one link for every two classes it joins. Nodes that stay large are dense: at one level the set nearest to
+the node's modal minwise values is its pivot, every member is compared with it, and those alike become one class, so only
+the members outside a node's largest class are still compared. Nodes large to the last level become one class whole, which
+can only add candidates.
+
+Links are then confirmed on full sets, exactly and inside tasks. A set belongs to one class and is sent once. A class too
+large for one task is cut into blocks: some of its sets are held against all blocks, true links to them make balls, and
+only the sets outside the largest ball meet the other blocks, each time giving one link for every two balls that are joined.
 
 Equal sets are one vertex, so copies cost nothing. Links become classes by large-star and small-star rounds.
 
@@ -49,7 +51,11 @@ SPLIT = 4096
 VOTERS = 64
 #: Levels whose large nodes get pivots.
 STAR_LEVELS = (2,)
-TARGET_RECALL = 0.99999
+TARGET_RECALL = 0.9999
+#: A class is confirmed in blocks of about so many sets, or of so many shingles; and sets held against all blocks of one.
+BLOCK, VOLUME, PIVOTS = 256, 2_000_000, 32
+#: Different shingles whose sets are multiplied at once.
+COLUMNS = 4096
 #: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 or 0.80 of 64.
 LEAST_AGREEMENT = {0.85: 40, 0.80: 35}
 #: Words whose hash a worker remembers before it starts over.
@@ -66,11 +72,21 @@ _PLACES = _DRAW.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 
 
 def trees_for(similarity: float, recall: float = TARGET_RECALL) -> int:
-    """Independent trees after which a pair of ``similarity`` has met with chance ``recall``."""
-    meet = 1.0
-    for _ in range(200):
-        meet = 1 - (1 - similarity * meet) * (1 - SECOND_BRANCH * similarity * meet)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    """Independent trees after which a pair of ``similarity`` has met with chance ``recall``.
+
+    All trees draw from the same ``SIZE`` coordinates, so the chance is averaged over how many of them the pair agrees in.
+    """
+    missed = []
+    for agreed in range(SIZE + 1):
+        meet = 1.0
+        for _ in range(200):
+            meet = 1 - (1 - agreed / SIZE * meet) * (1 - SECOND_BRANCH * agreed / SIZE * meet)
+        weight = math.comb(SIZE, agreed) * similarity**agreed * (1 - similarity) ** (SIZE - agreed)
+        missed.append((weight, 1 - meet))
+    trees = 1
+    while sum(weight * miss**trees for weight, miss in missed) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -121,8 +137,7 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[str, int] = {}
     for frame in frames:
-        sets = [shingle_hashes(text, seen).view(np.int64) for text in frame["text"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "shingles": sets})
+        yield frame.drop(columns="text").assign(shingles=[shingle_hashes(text, seen).view(np.int64) for text in frame["text"]])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -148,14 +163,38 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes.filter("outside > 0"), "node")
 
 
+class Classes:
+    """Classes of a few names, joined link by link."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, name: int) -> int:
+        while (above := self.parent.get(name, name)) != name:
+            self.parent[name] = self.parent.get(above, above)
+            name = above
+        return name
+
+    def joins(self, a: int, b: int) -> bool:
+        """Join the classes of ``a`` and ``b``; false if they were one."""
+        x, y = self.find(a), self.find(b)
+        self.parent[x] = y
+        return x != y
+
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Positions of the links (a, b) that join two classes, in order."""
+        _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        return [at for at in np.sort(first).tolist() if self.joins(int(a[at]), int(b[at]))]
+
+
 def _alike_in(least: int):
-    """Pairs (a, b) of each node, of different balls, whose sketches agree in at least ``least`` places.
+    """Links (a, b) that join the balls of each node whose sketches agree in at least ``least`` places.
 
     Rows come sorted by node and part, the few sets outside the largest ball first; the others pass by them.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, balls, sketches = None, *_nothing()
+        key, classes, ids, balls, sketches = None, Classes(), *_nothing()
         for frame in frames:
             if not len(frame):
                 continue
@@ -166,7 +205,7 @@ def _alike_in(least: int):
             found, low = [], 0
             for high in ends.tolist():
                 if key != (node[low], part[low]):
-                    key, ids, balls, sketches = (node[low], part[low]), *_nothing()
+                    key, classes, ids, balls, sketches = (node[low], part[low]), Classes(), *_nothing()
                 inner = low + int(out[low:high].sum())
                 known = len(ids)
                 ids, balls = np.append(ids, rep[low:inner]), np.append(balls, ball[low:inner])
@@ -179,7 +218,10 @@ def _alike_in(least: int):
                     late, early = np.nonzero(same)
                     at = start + late
                     fresh = (at >= inner) | (early < known + at - low)
-                    found.append((rep[at[fresh]], ids[early[fresh]]))
+                    late, early = at[fresh], early[fresh]
+                    if len(late):
+                        kept = classes.spanning(ball[late], balls[early])
+                        found.append((rep[late[kept]], ids[early[kept]]))
                 low = high
             if found:
                 x, y = (np.concatenate(side) for side in zip(*found, strict=True))
@@ -193,7 +235,7 @@ def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _node_pairs(small: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Distinct alike pairs of nodes with at most ``LEAF`` sets outside their largest ball.
+    """Distinct links between the balls of nodes with at most ``LEAF`` sets outside their largest ball.
 
     A large ball is cut into parts, and the sets outside it meet every part.
     """
@@ -205,43 +247,15 @@ def _node_pairs(small: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return rows.select("node", "part", "rep", "ball", "out", "sketch").mapInPandas(_alike_in(least), "a long, b long").distinct()
 
 
-def _pairs(sized: DataFrame) -> DataFrame:
-    """All pairs (a, b) of each node: the sets outside the largest ball against all others of another ball."""
-    left = sized.filter("ball != top").select("node", F.col("rep").alias("x"), F.col("ball").alias("ball_x"))
-    right = sized.select("node", F.col("rep").alias("y"), F.col("ball").alias("ball_y"), (F.col("ball") != F.col("top")).alias("both"))
-    met = left.join(right, "node").filter("ball_x != ball_y and (not both or x < y)")
-    return met.select(*_ordered(F.col("x"), F.col("y")))
-
-
 def _agreement(left: Column, right: Column) -> Column:
     same = F.zip_with(left, right, lambda a, b: (a == b).cast("int"))
     return F.aggregate(same, F.lit(0), lambda total, one: total + one)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The distinct pairs (a, b) whose sketches agree in at least ``least`` places."""
-    first = sets.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
-    second = sets.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
-    met = pairs.distinct().join(first, "a").join(second, "b")
-    return met.filter(_agreement(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
-
-
 def _ordered(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` with 100 * intersection >= ``percent`` * union on the full sets, read again from the texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(texts.mapInPandas(_full, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return pairs.join(first, "a").join(second, "b").filter(100 * common >= percent * union).select("a", "b")
-
-
 def _dense_pairs(dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Rows (pivot, rep) of large nodes whose sketches are alike; the pivot agrees best with the node's modal values."""
     shown = stored(dense.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep"))
@@ -260,42 +274,145 @@ def _dense_pairs(dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return met.select("pivot", "rep")
 
 
-def _stars(dense: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, least: int) -> DataFrame:
-    """Confirmed links (a, b) between the pivots and the other sets of large nodes, with the pivot."""
-    stars = stored(_dense_pairs(dense, sets, least).select(*_ordered(F.col("pivot"), F.col("rep")), "pivot").distinct())
-    true = confirmed(stored(stars.select("a", "b").distinct()), docs, percent)
-    return stored(stars.join(true, ["a", "b"]))
+def _stars(dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Distinct links (a, b) between the pivots and the alike sets of large nodes."""
+    return stored(_dense_pairs(dense, sets, least).select(*_ordered(F.col("pivot"), F.col("rep"))).distinct())
 
 
-def _balls(sets: DataFrame, stars: DataFrame) -> DataFrame:
-    """``sets`` with ball: the smallest pivot a set is linked to, so sets of one ball are connected; else the set itself."""
-    own = stars.select(F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("rep"), "pivot")
-    found = own.union(stars.select(F.col("pivot").alias("rep"), "pivot")).groupBy("rep").agg(F.min("pivot").alias("pivot"))
-    return sets.select("rep").join(found, "rep", "left").select("rep", F.coalesce("pivot", "rep").alias("ball"))
+def _balls(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets`` (rep) with ball: the class of ``links`` that a set is in; else the set itself."""
+    classes = components(links)
+    return sets.select("rep").join(classes, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("component", "rep").alias("ball"))
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b), a < b, that connect the different sets of ``sets`` (rep, minima, sketch)."""
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the sets of ``sets`` (rep, minima, sketch) as all pairs of candidates do, or more."""
     least = LEAST_AGREEMENT[percent / 100]
     trees = [F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees_for(percent / 100))]
     nodes = sets.select("rep", F.col("rep").alias("ball"), "minima", F.explode(F.array(*trees)).alias("node"))
-    small, stars = [], None
+    small, found = [], []
     for level in range(1, DEPTH + 1):
         sized = stored(_sized(_children(nodes)))
         if level in STAR_LEVELS:
-            star = _stars(sized.filter(F.col("outside") > LEAF), sets, docs, percent, least)
-            stars = star if stars is None else stars.union(star)
-            balls = _balls(sets, stars)
-            sized = stored(_sized(sized.select("node", "rep").join(balls, "rep").select("node", "rep", "ball")))
+            stars = _stars(sized.filter(F.col("outside") > LEAF), sets, least)
+            found.append(stars)
+            sized = stored(_sized(sized.select("node", "rep").join(_balls(sets, stars), "rep").select("node", "rep", "ball")))
         small.append(sized.filter(F.col("outside") <= LEAF).select("node", "rep", "ball", "top", "size"))
         large = sized.filter(F.col("outside") > LEAF)
         nodes = large.select("node", "rep", "ball").join(sets.select("rep", "minima"), "rep")
-    true = confirmed(stored(_node_pairs(reduce(DataFrame.union, small), sets, least)), docs, percent)
-    # Dense and unlinked to the last level: compared exhaustively, so that no link is lost.
-    last = stored(_alike(_pairs(large), sets, least))
-    if not last.isEmpty():
-        true = true.union(confirmed(last, docs, percent))
-    return stored(true.union(stars.select("a", "b")).distinct())
+    found.append(_node_pairs(reduce(DataFrame.union, small), sets, least))
+    # Dense to the last level: one class.
+    low = large.groupBy("node").agg(F.min("rep").alias("a"))
+    found.append(large.join(low, "node").filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    return stored(reduce(DataFrame.union, found).distinct())
+
+
+def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``first`` with all of ``second``."""
+    both = [*first, *second]
+    sizes = np.array([len(s) for s in both])
+    _, place, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(both)), sizes), count[place] > 1
+    # Shingles of one set alone take no part; the others are numbered and taken in blocks.
+    row, place = row[often], (np.cumsum(count > 1) - 1)[place[often]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(first), len(second)), dtype=np.int64)
+    ends = np.searchsorted(place, np.arange(0, int((count > 1).sum()) + COLUMNS, COLUMNS))
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        held = np.zeros((len(both), COLUMNS), dtype=np.float32)
+        held[row[low:high], place[low:high] % COLUMNS] = 1
+        total += (held[: len(first)] @ held[len(first) :].T).astype(np.int64)
+    return total
+
+
+def _confirmed_in(percent: int):
+    """Links (a, b) of similar sets that join two balls of a cell (cluster, i, j): block i against block j. Rows come sorted by cell."""
+
+    def links(cell: pd.DataFrame) -> pd.DataFrame:
+        block, ball, rep = (cell[name].to_numpy() for name in ("block", "ball", "rep"))
+        first, second = (np.flatnonzero(block == cell[side].iloc[0]) for side in ("i", "j"))
+        shingles = cell["shingles"].to_list()
+        sizes = np.array([len(s) for s in shingles])
+        common = _shared([shingles[k] for k in first], [shingles[k] for k in second])
+        union = sizes[first][:, None] + sizes[second][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * union) & (ball[first][:, None] != ball[second][None, :]))
+        x, y = first[x], second[y]
+        kept = Classes().spanning(ball[x], ball[y]) if len(x) else []
+        x, y = rep[x[kept]], rep[y[kept]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            names = frame[["cluster", "i", "j"]].to_numpy()
+            starts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for low, high in zip([0, *starts], [*starts, len(frame)], strict=True):
+                if kept and (kept[-1][["cluster", "i", "j"]].to_numpy()[-1] != names[low]).any():
+                    yield links(pd.concat(kept))
+                    kept = []
+                kept.append(frame.iloc[low:high])
+        if kept:
+            yield links(pd.concat(kept))
+
+    return run
+
+
+def _in_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of ``rows`` (cluster, i, j, block, rep, ball, shingles)."""
+    small_batches(rows.sparkSession)
+    dealt = rows.select("cluster", "i", "j", "block", "rep", "ball", "shingles").repartition("cluster", "i", "j")
+    return dealt.sortWithinPartitions("cluster", "i", "j").mapInPandas(_confirmed_in(percent), "a long, b long")
+
+
+def confirmed(clusters: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) with 100 * intersection >= ``percent`` * union on full sets, that connect the sets of each cluster as all such links do.
+
+    ``clusters`` has (rep, cluster); full sets are made once from the texts of the clusters' sets.
+    """
+    members = clusters.join(sets.select("rep", "n_shingles"), "rep")
+    cut = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(VOLUME)))
+    members = stored(members.join(members.groupBy("cluster").agg(F.count("*").alias("n"), cut.alias("blocks")), "cluster"))
+    texts = docs.join(members.drop("n_shingles").hint("merge"), docs["doc_id"] == members["rep"]).select("rep", "cluster", "n", "blocks", "text")
+    full = stored(texts.mapInPandas(_full, "rep long, cluster long, n long, blocks long, shingles array<long>").dropDuplicates(["rep"]))
+    nought = F.lit(0).cast("long")
+    whole = full.filter("blocks = 1").select("*", F.col("rep").alias("ball"), nought.alias("block"), nought.alias("i"), nought.alias("j"))
+    cells = full.filter("blocks > 1")
+    found = _in_cells(whole, percent)
+    if not members.filter("blocks > 1").isEmpty():
+        found = found.union(_large_links(cells, members.filter("blocks > 1"), percent))
+    return stored(found.distinct())
+
+
+def _large_links(full: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of clusters of several blocks: first to some sets of each, then of the sets outside its largest ball."""
+    mine, blocks = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.col("blocks")
+    picked = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.ceil(F.col("n") / F.lit(PIVOTS))) == 0
+    # Block -1 holds the pivots; a pivot is also in its own block.
+    own = full.withColumn("block", mine).withColumn("i", F.lit(-1).cast("long")).withColumn("j", mine)
+    held = full.filter(picked).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    held = held.withColumn("block", F.lit(-1).cast("long")).withColumn("i", F.lit(-1).cast("long"))
+    columns = ["cluster", "i", "j", "block", "rep", "shingles"]
+    first = stored(_in_cells(own.select(columns).union(held.select(columns)).withColumn("ball", F.col("rep")), percent).distinct())
+    balls = stored(members.join(_balls(members, first), "rep"))
+    tops = balls.groupBy("cluster", "ball").agg(F.count("*").alias("inside")).groupBy("cluster").agg(F.max(F.struct("inside", "ball")).alias("top"))
+    placed = balls.join(tops.select("cluster", "top"), "cluster").filter("n > top.inside")
+    # Blocks are as full as before, so their number is shared out by the sets inside and outside.
+    outer, inner = (F.ceil(blocks * count / F.col("n")) for count in (F.col("n") - F.col("top.inside"), F.col("top.inside")))
+    out = F.col("ball") != F.col("top.ball")
+    block = F.when(out, F.pmod(F.xxhash64("rep"), outer)).otherwise(outer + F.pmod(F.xxhash64("rep"), inner))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(out, outer + inner).otherwise(outer) - 1))
+    cells = placed.select("rep", "cluster", "ball", block.alias("block"), met.alias("met"))
+    cells = cells.select("rep", "cluster", "ball", "block", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
+    return _in_cells(cells.join(full.select("rep", "shingles"), "rep"), percent).union(first)
+
+
+def links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b), a < b, that connect the different sets of ``sets`` (rep, n_shingles, minima, sketch)."""
+    clusters = components(candidates(sets, percent)).select(F.col("vertex").alias("rep"), F.col("component").alias("cluster"))
+    return confirmed(stored(clusters), sets, docs, percent)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -329,7 +446,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(signatures(own))
     known = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = stored(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")))
+    one = [F.first(name).alias(name) for name in ("n_shingles", "minima", "sketch")]
+    sets = stored(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), *one))
     classes = components(links(own.filter(F.col("doc_id").isNotNull()), sets.drop("mark"), percent))
     marks = sets.join(classes, F.col("rep") == F.col("vertex"), "left").select(
         F.col("mark").alias("of_mark"), F.coalesce("component", "rep").alias("component")
