@@ -10,20 +10,24 @@ themselves: a value in a known format, or assigned to a name that speaks of keys
 and values next to words of examples are not. At most ``TRAIN_ROWS`` labelled rows train it, chosen by hash; dictionary,
 transitions and candidates cover every document.
 
-Defined cases: a null or empty text has no candidates. Repeated rows give repeated findings. A null source counts as a source
+Defined cases: a null or empty text has no candidates. A text of any length is searched whole, in memory that follows its length. Repeated rows give repeated findings. A null source counts as a source
 of its own. Other columns are not used, whatever their names. An empty table, or one whose labels are all alike, gives scores
 equal to those labels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewise.llm.common import stored
+from pagewise.llm.common import shipped, small_batches, stored
+
+shipped(__name__)
 
 #: Bound of the labelled rows a forest is trained on.
 TRAIN_ROWS = 20_000
@@ -53,6 +57,10 @@ NEAR = 40
 FEATURES = ["length", "transitions", "entropy", "digits", "upper", "dictionary", "place", "source_rank", "key_near", "sample_near", "assigned"]
 
 
+def _totals(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda numbers: np.cumsum(numbers, dtype=np.int64))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, at (code points before), value, format, before, after, place: every candidate of whole texts."""
     either = "|".join(f"({pattern})" for pattern in FORMATS.values())
@@ -60,16 +68,23 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     # Texts are cut at the candidates: the pieces between them give places and neighbours in one pass.
     cut = own.withColumn("found", F.regexp_extract_all("text", F.lit(f"({either})"), F.lit(1))).filter(F.size("found") > 0)
     cut = cut.withColumn("pieces", F.split("text", either, -1)).withColumn("n_chars", F.length("text"))
-    each = cut.select("doc_id", "source", "pieces", "n_chars", "found", F.posexplode("found").alias("i", "value"))
-    lengths = lambda array: F.aggregate(F.slice(array, 1, F.col("i") + 1), F.lit(0), lambda n, x: n + F.length(x))
-    at = lengths(F.col("pieces")) + lengths(F.col("found")) - F.length("value")
+    # Places are running totals, and a candidate leaves its text with its neighbours alone: memory follows the text's length.
+    small_batches(docs.sparkSession)
+    sizes = F.transform("found", lambda value, i: F.length(value) + F.length(F.get("pieces", i)))
+    cut = cut.withColumn("ends", F.pandas_udf(_totals, "array<long>")(sizes))
+    hit = F.transform(
+        "found",
+        lambda value, i: F.struct(
+            value.alias("value"), (F.get("ends", i) - F.length(value)).alias("at"), F.right(F.get("pieces", i), F.lit(NEAR)).alias("before"),
+            F.left(F.get("pieces", i + 1), F.lit(NEAR)).alias("after"),
+        ),
+    )
+    each = cut.select("doc_id", "source", "n_chars", F.explode(hit).alias("hit")).select("doc_id", "source", "n_chars", "hit.*")
     names = F.lit(None).cast("string")
     for name, pattern in reversed(FORMATS.items()):
         names = F.when(F.col("value").rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(names)
     return each.select(
-        "doc_id", "source", at.cast("long").alias("at"), "value", names.alias("format"),
-        F.expr(f"right(pieces[i], {NEAR})").alias("before"), F.expr(f"left(pieces[i + 1], {NEAR})").alias("after"),
-        (at / F.col("n_chars")).alias("place"),
+        "doc_id", "source", "at", "value", names.alias("format"), "before", "after", (F.col("at") / F.col("n_chars")).alias("place"),
     )
 
 

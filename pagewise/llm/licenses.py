@@ -2,11 +2,11 @@
 
 One automaton over the words of a text finds the base phrases and the notice phrases. Another over the lower-cased text
 finds identifier tags; the expression after a tag is read into postfix order by operator precedence (WITH, AND, OR) and
-evaluated to the set of licences it names, as alternatives. Labels of a notice carry its weight, those of a tag or a base
+evaluated to the licences it names, with its choices kept as a tree, in time that grows with the expression's length. Labels of a notice carry its weight, those of a tag or a base
 phrase count in full; the score is that of the surest finding.
 
 Defined cases: a null or empty text has no words and no labels. A malformed expression gives the licences read before the
-fault. Repeated rows give equal results. Columns beside id and text are not used. An empty table gives no rows.
+fault. A text of any length is read whole, each character a bounded number of times. Repeated rows give equal results. Columns beside id and text are not used. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,25 +53,31 @@ NOTICES = {
     "all rights reserved": ("all-rights-reserved", 0.6),
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: Labels of identifiers, by their beginning.
-FAMILIES = (
-    ("apache-2", "apache-2"), ("mit", "mit"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("cc0", "cc0"),
-    ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl-3", "gpl-3"), ("gpl-2", "gpl-2"), ("gpl", "gpl"), ("mpl", "mpl"), ("epl", "epl"),
-    ("bsd", "bsd"), ("0bsd", "bsd"), ("isc", "isc"), ("unlicense", "public-domain"),
-)
+#: Labels of whole identifiers; and of those that a version may follow.
+IDENTIFIERS = {
+    "apache-2": "apache-2", "apache-2.0": "apache-2", "gpl-3": "gpl-3", "gpl-3.0": "gpl-3", "gpl-2": "gpl-2", "gpl-2.0": "gpl-2",
+    "bsd-1-clause": "bsd", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "bsd-4-clause": "bsd", "0bsd": "bsd", "unlicense": "public-domain",
+    "bsd": "bsd", "isc": "isc", "mit": "mit",
+}
+VERSIONED = ("agpl", "cc-by", "cc-by-nc", "cc-by-sa", "cc0", "epl", "gpl", "lgpl", "mpl")
+VERSION = re.compile(r"-\d+(?:\.\d+)*$")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+-]*)")
+#: A word before a colon is the next tag, no licence.
+TOKEN = re.compile(r"[ \t]*+(\(|\)|[a-z0-9][a-z0-9.+-]*+(?!:))")
 
 
 def label_of(identifier: str) -> str:
-    return next((label for start, label in FAMILIES if identifier.startswith(start)), identifier.rstrip(".+"))
+    """The family of a known identifier; any other identifier stands for itself."""
+    plain = identifier.rstrip(".+").removesuffix("-only").removesuffix("-or-later")
+    stem = VERSION.sub("", plain)
+    return IDENTIFIERS.get(plain) or (stem if stem in VERSIONED else plain)
 
 
-def postfix(expression: str) -> list[str]:
-    """The longest well-formed beginning of a lower-case expression, in postfix order."""
+def postfix(expression: str, at: int = 0) -> list[str]:
+    """The longest well-formed expression that begins at ``at`` of a lower-case text, in postfix order."""
     out: list[str] = []
     waiting: list[str] = []
-    operand_next, at = True, 0
+    operand_next, opened = True, 0
     while match := TOKEN.match(expression, at):
         token = match[1]
         if token in PRECEDENCE and not operand_next:
@@ -81,10 +87,12 @@ def postfix(expression: str) -> list[str]:
             operand_next = True
         elif token == "(" and operand_next:
             waiting.append(token)
-        elif token == ")" and not operand_next and "(" in waiting:
+            opened += 1
+        elif token == ")" and not operand_next and opened:
             while waiting[-1] != "(":
                 out.append(waiting.pop())
             waiting.pop()
+            opened -= 1
         elif token not in PRECEDENCE and token not in "()" and operand_next:
             out.append(token)
             operand_next = False
@@ -95,8 +103,55 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+def tree(rest: list[str]) -> list | str | None:
+    """A postfix expression as nested lists [operator, operand, ...]; a chain of one operator is one list. An exception belongs to its licence."""
+    stack: list[list | str] = []
+    for token in rest:
+        if token not in PRECEDENCE:
+            stack.append(token)
+        elif len(stack) > 1:
+            right = stack.pop()
+            if isinstance(stack[-1], list) and stack[-1][0] == token:
+                stack[-1].append(right)
+            else:
+                stack.append([token, stack.pop(), right])
+    return stack[-1] if stack else None
+
+
+def leaves(root: list | str) -> list[str]:
+    """Licences of a tree, without exceptions, in order."""
+    found, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            found.append(at)
+        else:
+            todo.extend([at[1]] if at[0] == "with" else reversed(at[1:]))
+    return found
+
+
+def shown(root: list | str) -> str:
+    """A tree as text: ``|`` between choices, ``&`` between licences that hold together, brackets around inner lists."""
+    signs = {"or": " | ", "and": " & ", "with": " with "}
+    out, todo = [], [(root, True)]
+    while todo:
+        at, outer = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+            continue
+        # An operand repeated in its list is shown once.
+        operands = [*dict.fromkeys(x for x in at[1:] if isinstance(x, str)), *(x for x in at[1:] if isinstance(x, list))] if at[0] != "with" else at[1:]
+        parts = [part for operand in operands for part in ((signs[at[0]], True), (operand, False))][1:]
+        bare = outer or at[0] == "with"
+        todo.extend(reversed(parts if bare else [("(", True), *parts, (")", True)]))
+    return "".join(out)
+
+
 def alternatives(expression: str) -> list[frozenset[str]]:
-    """The choices an expression leaves; each is the set of licences that hold together. An exception belongs to its licence."""
+    """The choices an expression leaves; each is the set of licences that hold together. An exception belongs to its licence.
+
+    Their number may double with every AND, so the scan does without; this is for single expressions.
+    """
     stack: list[list[frozenset[str]]] = []
     for token in postfix(expression):
         if token not in PRECEDENCE:
@@ -145,12 +200,10 @@ def scanned(text: str | None, phrases, tags) -> tuple:
             labels.add(label)
             score = max(score, weight)
     for end, _ in tags.iter(lowered):
-        stop = lowered.find("\n", end)
-        expression = lowered[end + 1 : stop if stop >= 0 else len(lowered)]
-        if choices := alternatives(expression):
+        if root := tree(postfix(lowered, end + 1)):
             score = 1.0
-            spoken.append(" | ".join(" & ".join(sorted(choice)) for choice in choices))
-            labels.update(label_of(name.split(" with ")[0]) for choice in choices for name in choice)
+            spoken.append(shown(root))
+            labels.update(map(label_of, leaves(root)))
     first, last = (min(starts), max(starts)) if starts else (None, None)
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), spoken, score
 

@@ -10,7 +10,8 @@ A piece finds its place from its length and its rank among the pieces of that le
 and input partition to a count inside the partition, so no length is gathered in one task. Only pieces cut at a window
 end are tokenised again for their check sums.
 
-Defined cases: a null or empty text is the single end token. Repeated rows are packed as often as they come. A null id is
+Defined cases: a null or empty text is the single end token. A text of any length is tokenised whole; one whose runs of white
+space are too long for the fast encoder goes through the tokenizer file itself. Repeated rows are packed as often as they come. A null id is
 carried as null. Columns beside id and text are not used. An empty table gives no pieces.
 """
 
@@ -48,8 +49,19 @@ def encoder(name: str = TOKENIZER):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+def file_ids(name: str, text: str) -> list[int]:
+    """Ids by the tokenizer file: slower, without limits."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(str(public_tokenizers.path(f"{name}.json"))).encode(text, add_special_tokens=False).ids
+
+
 def token_ids(encoding, text: str | None) -> np.ndarray:
-    ids = encoding.encode_to_numpy(text or "", allowed_special="all")
+    try:
+        ids = encoding.encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:  # The encoder's pattern has no stack for white space of about a million characters.
+        ids = file_ids(encoding.name, text)
     return np.append(ids, END_TOKEN).astype("<u4")
 
 

@@ -7,12 +7,14 @@ different ones stay different. It is a Feistel network over a near-square grid t
 range are permuted again.
 
 Kinds: e-mail (the part before the at sign, letters as letters, digits as digits), IPv4, telephone (a plus sign and 8 to
-15 digits, 11 of the country +1 where a group ends there; the country digits stay), payment card (13 to 19 digits, Luhn), IBAN (mod 97), US social security number,
+15 digits, 11 of the country +1 where a group ends there; the country digits stay; or ten digits whose area is in brackets), payment card (13 to 19 digits, Luhn), IBAN (mod 97), US social security number,
 dates from 1900 to 2099 (ISO, or day and month with points or slashes).
 
 A card, telephone number or IBAN beside another number (a security code, an expiry date, an order number) is found by the
 ends of its groups; if none is valid, the search goes on after the first group.
 
+A text of any length is read whole; a run of address characters is tried once, however long.
+
 Defined cases: a null text stays null and an empty one empty; numbers that fail validation stay as they are. Repeated rows
 give equal results. Other columns are carried, whatever their names. An empty table stays empty.
 """
@@ -38,15 +40,19 @@ ROUNDS = 8
 DEFAULT_KEY = b"pseudonym key of this corpus"
 
 FOUND = re.compile(
-    r"""(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
+    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){4,13}(?!\d))
+    |(?P<area_phone>(?<![\d+])\([2-9]\d{2}\)\ ?[2-9]\d{2}[ .-]\d{4}(?!\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d/-]|\.\d))
     |(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))
     |(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?!\d))""",
     re.X | re.A,
 )
+#: The characters before an at sign, and what follows them.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 DIGITS = re.compile(r"\d+", re.A)
 #: Cards of the issuers 3 to 6 and 22 to 27 in groups of four digits or more, the last of three; and the usual groups.
 CARD_GROUPS = re.compile(r"(?=[3-6]|2[2-7])(?=(?:[ -]?\d){13})(?!(?:[ -]?\d){20})\d{4,}(?:[ -]\d{4,})*(?:[ -]\d{3})?", re.A)
@@ -115,6 +121,11 @@ def phone(found: str, key: bytes) -> str | None:
     return country + _refill(rest, _digits(plain, key, "phone"))
 
 
+def area_phone(found: str, key: bytes) -> str | None:
+    """Ten digits without a country: the same digits after +1 get the same pseudonym."""
+    return _refill(found, _digits(re.sub(r"\D", "", found), key, "phone"))
+
+
 def ip(found: str, key: bytes) -> str | None:
     octets = [int(x) for x in found.split(".")]
     if max(octets) > 255:
@@ -209,7 +220,7 @@ def iban_ends(text: str, start: int, stop: int) -> list[int]:
 
 
 KINDS: dict[str, Callable[[str, bytes], str | None]] = {
-    "email": email, "iban": iban, "phone": phone, "ssn": ssn, "date": date, "ip": ip, "card": card
+    "email": email, "iban": iban, "phone": phone, "area_phone": area_phone, "ssn": ssn, "date": date, "ip": ip, "card": card
 }
 #: Kinds whose pattern may reach into a neighbouring number.
 ENDS: dict[str, Callable[[str, int, int], list[int]]] = {"card": card_ends, "phone": phone_ends, "iban": iban_ends}
@@ -223,12 +234,22 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, int, list[str]]:
 
     out: list[str] = []
     done = at = 0
-    while match := FOUND.search(text, at):
-        kind, (start, at) = match.lastgroup, match.span()
+    run, domain = 0, None
+    while True:
+        # Behind a value an address may begin inside its run of characters, which is measured once.
+        if at > run or (at and at == run):
+            run = LOCAL.match(text, at).end()
+            domain = DOMAIN.match(text, run)
+        if 0 < at < run and domain:
+            kind, start, at = "email", at, domain.end()
+        elif match := FOUND.search(text, at):
+            kind, (start, at) = match.lastgroup, match.span()
+        else:
+            break
         for end in ENDS[kind](text, start, at) if kind in ENDS else (at,):
             if other := KINDS[kind](text[start:end], key):
                 out += text[done:start], other
-                kinds.append(kind)
+                kinds.append("phone" if kind == "area_phone" else kind)
                 done = at = end
                 break
         else:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,3 +273,46 @@ def test_secret_forest_on_held_out_findings(spark, documents):
     texts = {r[0]: r[1] for r in rows}
     assert all(texts[r.doc_id][r.at : r.at + len(r.value)] == r.value for r in judged)
     assert leaks.secrets_digest(docs.limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time(spark, documents):
+    """Texts of a million characters built to be slow; each held against what a plain reading gives."""
+    began = time.monotonic()
+    # Licences: 2^3000 alternatives, nested brackets, a tag that repeats on one line.
+    rule = " and ".join(f"(a{i} or b{i})" for i in range(3000))
+    tools = licenses.automata()
+    found = licenses.scanned(f"SPDX-License-Identifier: {rule}", *tools)
+    assert found[5] == ",".join(sorted(f"{c}{i}" for i in range(3000) for c in "ab"))
+    assert found[6] == [" & ".join(f"(a{i} | b{i})" for i in range(3000))]
+    assert licenses.scanned("license-expression: " + "(" * 400_000 + "mit" + ")" * 400_000, *tools)[5] == "mit"
+    assert licenses.scanned("license-expression: ( " * 50_000, *tools)[5] == ""
+    # Pseudonyms: one run without an at sign, one with dates in it, one with an address at its end.
+    assert pii.replaced("a" * 1_000_000, b"k") == ("a" * 1_000_000, 0, [])
+    dates, n, kinds = pii.replaced("a2020-01-01b" * 80_000, b"k")
+    assert (n, kinds) == (80_000, ["date"]) and dates == pii.replaced("a2020-01-01b", b"k")[0] * 80_000
+    assert pii.replaced("a" * 1_000_000 + "@", b"k")[1] == 0
+    # Packing: more white space than the fast encoder takes.
+    ids = packing.token_ids(packing.encoder(), " " * 1_000_000 + "a")
+    assert ids.tolist() == [*packing.file_ids(packing.TOKENIZER, " " * 1_000_000 + "a"), packing.END_TOKEN]
+    # Secrets: 8,000 candidates in one text, each in its place.
+    text = " ".join(f"{i:032x}" for i in range(8000))
+    rows = leaks.candidates(documents([(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, None, None, None, None)])).collect()
+    assert sorted((r["at"], r["value"]) for r in rows) == sorted([(33 * i, f"{i:032x}") for i in range(8000)] * 2)
+    assert all(r["before"] == text[: r["at"]][-40:] or len(r["before"]) == 1 for r in rows)
+    assert time.monotonic() - began < 120
+
+
+def test_licence_identifiers_are_whole():
+    tools = licenses.automata()
+    for shown, label in (
+        ("mitigated", "mitigated"), ("MIT-0", "mit-0"), ("MIT", "mit"), ("GPL-2.0-or-later", "gpl-2"), ("GPL-3.0+", "gpl-3"), ("CC-BY-NC-4.0", "cc-by-nc"),
+        ("CC-BY-4.0", "cc-by"), ("BSD-3-Clause", "bsd"), ("LGPL-2.1-only", "lgpl"), ("ISCX", "iscx"), ("Apache-2.0", "apache-2"),
+    ):
+        assert licenses.scanned(f"SPDX-License-Identifier: {shown}", *tools)[5] == label
+
+
+def test_pseudonyms_of_telephones_without_a_country_and_addresses_behind_values():
+    plain, with_country = (pii.replaced(shown, b"k")[0] for shown in ("(443) 555-5793", "+1 (443) 555-5793"))
+    assert plain != "(443) 555-5793" and with_country == f"+1 {plain}"
+    out, n, kinds = pii.replaced("4111 1111 1111 1111x@example.com", b"k")
+    assert n == 2 and kinds == ["card", "email"] and out.endswith("@example.com")
