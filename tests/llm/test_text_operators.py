@@ -316,3 +316,28 @@ def test_pseudonyms_of_telephones_without_a_country_and_addresses_behind_values(
     assert plain != "(443) 555-5793" and with_country == f"+1 {plain}"
     out, n, kinds = pii.replaced("4111 1111 1111 1111x@example.com", b"k")
     assert n == 2 and kinds == ["card", "email"] and out.endswith("@example.com")
+
+
+@pytest.mark.parametrize("percent", [85])
+def test_near_duplicates_of_a_group_without_its_base(spark, percent):
+    """Texts that are all about as far from each other: no member is near to all, as in a group whose base is not there."""
+    draw, base = random.Random(31), [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[draw.randrange(120)] = f"x{i}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    least = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in chosenpath.near_duplicates(docs, percent).collect()}
+    assert got == dict(enumerate(least))
+    sets = chosenpath.signatures(docs).selectExpr("doc_id as rep", "n_shingles", "minima", "sketch")
+    # All pairs would be 44,850 links.
+    assert chosenpath.candidates(chosenpath.stored(sets), percent).count() < 20 * len(texts)
