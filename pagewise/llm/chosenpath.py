@@ -58,6 +58,8 @@ BLOCK, VOLUME, PIVOTS = 256, 2_000_000, 32
 COLUMNS = 4096
 #: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 or 0.80 of 64.
 LEAST_AGREEMENT = {0.85: 40, 0.80: 35}
+#: Shingles whose minwise values are taken at once.
+STRIDE = 512
 #: Words whose hash a worker remembers before it starts over.
 REMEMBERED = 500_000
 
@@ -113,9 +115,9 @@ def shingle_hashes(text: str | None, seen: dict[str, int]) -> np.ndarray:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    low = np.empty(SIZE, dtype=np.uint64)
-    for k in range(SIZE):
-        low[k] = ((hashes ^ _MASKS[k]) * _FACTORS[k]).min()
+    low = np.full(SIZE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(hashes), STRIDE):
+        low = np.minimum(low, ((hashes[start : start + STRIDE, None] ^ _MASKS) * _FACTORS).min(axis=0))
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -213,7 +215,7 @@ def _alike_in(least: int):
                 # Part 0 alone also compares the sets outside with each other, each pair when its later set arrives.
                 for start in range(low if key[1] == 0 else inner, high, 1024):
                     stop = min(start + 1024, high)
-                    same = (sketch[start:stop, None, :] == sketches[None, :, :]).sum(axis=2) >= least
+                    same = _agreeing(sketch[start:stop], sketches) >= least
                     same &= ball[start:stop, None] != balls[None, :]
                     late, early = np.nonzero(same)
                     at = start + late
@@ -230,6 +232,16 @@ def _alike_in(least: int):
     return run
 
 
+def _agreeing(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """In how many places each sketch of ``first`` agrees with each of ``second``."""
+    if len(first) * len(second) < 10_000:
+        return (first[:, None, :] == second[None, :, :]).view(np.uint8).sum(axis=2, dtype=np.uint8)
+    total = np.zeros((len(first), len(second)), dtype=np.uint8)
+    for x, y in zip(np.ascontiguousarray(first.T), np.ascontiguousarray(second.T), strict=True):
+        total += x[:, None] == y[None, :]
+    return total
+
+
 def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, SIZE), dtype=np.int8)
 
