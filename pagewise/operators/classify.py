@@ -20,6 +20,8 @@ from pagewise.operators.ordered import with_neighbours
 from pagewise.session import cut_lineage
 
 MAX_RULES = 10_000
+#: Length of the grams a rule table is indexed by.
+GRAM = 3
 RESULT = ("doc_type", "supplier", "confidence", "source", "matched_pattern", "is_continuation", "cnpj")
 CLASSIFIED_COLUMNS = ("doc_id", "page_number") + RESULT
 
@@ -49,7 +51,7 @@ def ranked_patterns(rules: tuple[Rule, ...]) -> list[RankedPattern]:
 
 
 def rules_from_table(rules: DataFrame) -> tuple[Rule, ...]:
-    """Read a user rule table. A dictionary is configuration: more than ``MAX_RULES`` rows is refused."""
+    """Read a user rule table into a plan-time dictionary of at most ``MAX_RULES`` rows; ``indexed_matches`` takes larger ones."""
     rows = rules.orderBy("rule_ord").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"rule table holds more than {MAX_RULES} rules")
@@ -111,6 +113,52 @@ def rule_matches(pages: DataFrame, rules: tuple[Rule, ...] = V.SHIPPED_RULES) ->
     return with_text(pages).select("doc_id", "page_number", F.inline(hits))
 
 
+def indexed_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rule_matches`` for a rule *table* (rule_ord, doc_type, patterns, confidence) of any size.
+
+    An inverted index: every pattern is posted under the one of its grams of ``GRAM`` characters that the fewest pages
+    hold, pages meet the postings by their distinct grams, and each pair met is verified on the text. The plan does not
+    grow with the rules, and nothing but gram lengths comes to the driver. A pattern shorter than a gram is posted whole.
+    Patterns are literal text; a pattern that is null or blank after normalisation matches nothing.
+    """
+    listed = rules.select("rule_ord", "doc_type", "confidence", F.posexplode("patterns").alias("pattern_ord", "pattern"))
+    norm = T.normalize_text(F.col("pattern"))
+    patterns = cut_lineage(listed.withColumn("pattern_norm", norm).filter(F.length("pattern_norm") > 0))
+
+    def grams(text: str, size: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+    size = F.least(F.length("pattern_norm"), F.lit(GRAM))
+    sizes = sorted(row[0] for row in patterns.select(size).distinct().collect())
+    texts = with_text(pages).select("doc_id", "page_number", "norm")
+    held = F.array_distinct(F.flatten(F.array(*[grams("norm", n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    shown = texts.select("doc_id", "page_number", F.explode(held).alias("gram"))
+    whole = F.length("pattern_norm") < GRAM
+    own = patterns.select(
+        "rule_ord", "pattern_ord",
+        F.explode(F.when(whole, F.array("pattern_norm")).otherwise(F.array_distinct(grams("pattern_norm", GRAM)))).alias("gram"),
+    )
+    often = shown.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("pages"))
+    posted = (
+        own.join(often, "gram", "left")
+        .groupBy("rule_ord", "pattern_ord")
+        .agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "gram")).alias("rarest"))
+        .select("rule_ord", "pattern_ord", "rarest.gram")
+    )
+    met = shown.join(posted, "gram").drop("gram").join(patterns, ["rule_ord", "pattern_ord"])
+    return met.join(texts, ["doc_id", "page_number"]).filter(F.col("norm").contains(F.col("pattern_norm"))).select(
+        "doc_id", "page_number", "rule_ord", "pattern_ord", "doc_type", "pattern", "confidence",
+        F.length("pattern_norm").alias("pattern_length"),
+    )
+
+
+def strongest_match(matches: DataFrame) -> DataFrame:
+    """The winning rule of each page with a match: confidence, then length, then the order of the table."""
+    rank = F.struct("confidence", "pattern_length", -F.col("rule_ord"), -F.col("pattern_ord"))
+    kept = F.struct("rule_ord", "pattern_ord", "doc_type", "pattern", "confidence")
+    return matches.groupBy("doc_id", "page_number").agg(F.max_by(kept, rank).alias("won")).select("doc_id", "page_number", "won.*")
+
+
 def _winner(norm: Column, ranked: list[RankedPattern]) -> Column:
     """Rank of the strongest pattern on the page, null when none is there."""
     chain = None

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
-from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, with_neighbours
+from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, running_total, with_neighbours
 from pagewise.session import cut_lineage
 
 # Facts about the open group, one bit each.
@@ -260,47 +260,38 @@ def should_group_pairwise(classified: DataFrame) -> DataFrame:
 def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
     """Violations of "pages 1..N appear in exactly one group", as (doc_id, violation, page_number).
 
-    ``documents`` holds (doc_id, total_pages). Covered and expected pages are counted in one aggregate keyed
-    by page, so a long document spreads over all tasks and repeated pages are combined before the shuffle.
-    A document without any group is one violation, not one per page.
+    ``documents`` holds (doc_id, total_pages). A sweep over the ends of ranges: where a group or the document begins
+    or is over, the number of groups and of documents there changes, and running sums give both between two such
+    places. Only ranges that violate the rule become rows per page. Sums run in blocks of positions, so a long
+    document spreads over all tasks. A document without any group is one violation, not one per page.
     """
     start, end = F.col("start_page"), F.col("end_page")
-    covered = explode_range(groups.select("doc_id", "start_page", "end_page"), start, end, "page_number").select(
-        "doc_id", F.lit("covered").alias("mark"), "page_number"
-    )
-    inverted = groups.filter(start > end).select(
-        "doc_id", F.lit("inverted").alias("mark"), start.alias("page_number")
-    )
     asked = documents.join(groups.select("doc_id").distinct().withColumn("has_groups", F.lit(True)), "doc_id", "left")
-    # Page 0 stands for a document without groups until the end.
-    first, last = F.when(F.col("has_groups"), 1).otherwise(0), F.when(F.col("has_groups"), F.col("total_pages")).otherwise(0)
-    expected = explode_range(asked, first, last, "page_number").select(
-        "doc_id", F.when(F.col("has_groups"), "expected").otherwise("no_groups").alias("mark"), "page_number"
+    ranges = groups.filter(start <= end).select("doc_id", start.alias("low"), end.alias("high"), F.lit(1).alias("group"), F.lit(0).alias("page"))
+    whole = asked.filter(F.col("has_groups") & (F.col("total_pages") >= 1)).select(
+        "doc_id", F.lit(1).alias("low"), F.col("total_pages").alias("high"), F.lit(0).alias("group"), F.lit(1).alias("page")
     )
-    counted = (
-        covered.unionByName(inverted)
-        .unionByName(expected)
-        .groupBy("doc_id", "page_number")
-        .agg(
-            F.count_if(F.col("mark") == "covered").alias("covered"),
-            F.count_if(F.col("mark") == "expected").alias("expected"),
-            F.count_if(F.col("mark") == "inverted").alias("inverted"),
-            F.count_if(F.col("mark") == "no_groups").alias("no_groups"),
-        )
+    ends = F.array(
+        F.struct(F.col("low").alias("at"), F.col("group").alias("group"), F.col("page").alias("page")),
+        F.struct((F.col("high") + 1).alias("at"), (-F.col("group")).alias("group"), (-F.col("page")).alias("page")),
     )
-    missing = (F.col("covered") == 0) & (F.col("expected") > 0)
-    found = F.array_compact(
-        F.array(
-            F.when(missing, "missing"),
-            F.when(F.col("covered") > 1, "overlap"),
-            F.when((F.col("covered") == 1) & (F.col("expected") == 0), "extra"),
-            F.when(F.col("inverted") > 0, "inverted"),
-            F.when(F.col("no_groups") > 0, "no_groups"),
-        )
+    changes = (
+        ranges.unionByName(whole).select("doc_id", F.inline(ends)).groupBy("doc_id", "at").agg(F.sum("group").alias("groups"), F.sum("page").alias("pages"))
     )
-    return counted.select("doc_id", F.explode(found).alias("violation"), "page_number").withColumn(
-        "page_number", F.when(F.col("violation") != "no_groups", F.col("page_number"))
+    placed = with_neighbours(changes, following=("at",), page="at")
+    for name in ("groups", "pages"):
+        placed = running_total(placed, ["doc_id"], ["at"], F.col(name), f"{name}_before")
+    covered, expected = F.col("groups_before") + F.col("groups"), F.col("pages_before") + F.col("pages")
+    violation = (
+        F.when((covered == 0) & (expected > 0), "missing").when(covered > 1, "overlap").when((covered == 1) & (expected == 0), "extra")
     )
+    broken = placed.select("doc_id", "at", "next_at", violation.alias("violation")).filter("violation is not null")
+    pages = explode_range(broken, F.col("at"), F.col("next_at") - 1, "page_number").select("doc_id", "violation", "page_number")
+    inverted = groups.filter(start > end).select("doc_id", F.lit("inverted").alias("violation"), start.alias("page_number")).distinct()
+    without = asked.filter("has_groups is null").select(
+        "doc_id", F.lit("no_groups").alias("violation"), F.lit(None).cast("int").alias("page_number")
+    ).distinct()
+    return pages.unionByName(inverted).unionByName(without)
 
 
 def group_pages_range(groups: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
@@ -172,7 +172,8 @@ def admission_replay(
     A free use needs a user and an address that are both unused that day, so acceptance depends on earlier
     acceptances through two keys. Rounds settle it without ordering a whole day in one task: a candidate
     that is the earliest left for its user and for its address is accepted, which bars the other candidates
-    of both; every round is two map-side combined minima. Jobs of unknown users are answered ``unknown_user``.
+    of both, and so are chains of candidates that wait for one other (``_free_winners``). Jobs of unknown users are
+    answered ``unknown_user``.
     """
     people = users.select(
         F.col("id").alias("user_id"), T.is_admin(F.col("role"), F.col("email"), admin_emails).alias("admin")
@@ -210,23 +211,38 @@ def admission_replay(
     )
 
 
+def _leading(rows: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """The first ``most`` rows of each (key, day): id, its rank there and the first id. The rank limit works before the shuffle."""
+    window = Window.partitionBy(key, "day").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumns({"rank": F.row_number().over(window), "first": F.first("id").over(window)}).filter(F.col("rank") <= most)
+    return ranked.select("id", F.col("rank").alias(f"{key}_rank"), F.col("first").alias(f"{key}_first"))
+
+
 def _free_winners(candidates: DataFrame) -> DataFrame:
+    """Candidates that win their user and address, in rounds.
+
+    A candidate with nobody before it wins. One with exactly one candidate before it wins if that one loses, so such
+    candidates form chains, and each chain is settled in one round: pointers are doubled until they reach its head,
+    with the parity of the steps. A chain of n candidates takes log2 n doublings.
+    """
     open_rows, accepted = candidates, None
     while True:
-        first_user = open_rows.groupBy("user_id", "day").agg(F.min("turn").alias("user_first"))
-        first_ip = open_rows.filter("ip is not null").groupBy("ip", "day").agg(F.min("turn").alias("ip_first"))
-        won = cut_lineage(
-            first_user.join(
-                open_rows, ["user_id", "day"]
-            )
-            .filter(F.col("turn") == F.col("user_first"))
-            .join(first_ip, ["ip", "day"], "left")
-            .filter(F.col("ip").isNull() | (F.col("turn") == F.col("ip_first")))
-            .select("id", "user_id", "ip", "day", "turn")
+        ranked = open_rows.join(_leading(open_rows, "user_id"), "id", "left").join(_leading(open_rows.filter("ip is not null"), "ip"), "id", "left")
+        by_user = F.coalesce("user_id_rank", F.lit(3))
+        by_ip = F.when(F.col("ip").isNull(), 1).otherwise(F.coalesce("ip_rank", F.lit(3)))
+        before = (
+            F.when((by_user == 2) & (by_ip == 1), F.col("user_id_first"))
+            .when((by_user == 1) & (by_ip == 2), F.col("ip_first"))
+            .when((by_user == 2) & (by_ip == 2) & (F.col("user_id_first") == F.col("ip_first")), F.col("user_id_first"))
         )
+        ranked = cut_lineage(ranked.select(*candidates.columns, ((by_user == 1) & (by_ip == 1)).alias("head"), before.alias("before")))
+        heads = ranked.filter("head").select("id")
+        follow = _chained(ranked.filter("before is not null").select("id", F.col("before").alias("to")))
+        wins = heads.unionByName(follow.filter("even").join(heads.select(F.col("id").alias("to")), "to").select("id"))
+        won = cut_lineage(ranked.select(*candidates.columns).join(wins, "id"))
         accepted = won if accepted is None else accepted.unionByName(won)
         open_rows = cut_lineage(
-            open_rows.join(won.select("user_id", "day"), ["user_id", "day"], "left_anti").join(
+            ranked.select(*candidates.columns).join(won.select("user_id", "day"), ["user_id", "day"], "left_anti").join(
                 won.filter("ip is not null").select("ip", "day"), ["ip", "day"], "left_anti"
             )
         )
@@ -234,6 +250,74 @@ def _free_winners(candidates: DataFrame) -> DataFrame:
             return accepted
 
 
+def _chained(steps: DataFrame) -> DataFrame:
+    """``steps`` (id, to) followed to the end: (id, to, even), whether an even number of steps leads there."""
+    steps = cut_lineage(steps.withColumn("even", F.lit(False)))
+    while True:
+        onward = steps.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("even").alias("even_beyond"))
+        met = cut_lineage(steps.join(onward, "to", "left"))
+        moved = F.col("beyond").isNotNull()
+        steps = met.select(
+            "id", F.coalesce("beyond", "to").alias("to"), F.when(moved, F.col("even") == F.col("even_beyond")).otherwise(F.col("even")).alias("even")
+        )
+        if met.filter(moved).isEmpty():
+            return steps
+
+
+def tool_replay(
+    uses: DataFrame, users: DataFrame, balances: DataFrame, admin_emails: tuple[str, ...] = ()
+) -> DataFrame:
+    """Replay of tool uses (id, user_id, ip_address, created_at) from empty daily counters, in order of (created_at, id).
+
+    Admins and users with credits are ``unlimited`` and count nowhere. Another use is ``accepted`` while both its user
+    and its address, if usable, have had fewer than the daily limit, and then counts for both; else it is ``refused``.
+    In a round a use is accepted if the uses before it that are accepted or open leave room at both keys, and refused
+    if accepted ones before it fill one. The earliest open use is always settled. A null user is bound by the address alone.
+    """
+    people = users.select(
+        F.col("id").alias("user_id"), T.is_admin(F.col("role"), F.col("email"), admin_emails).alias("is_admin")
+    ).join(balances.select("user_id", "available_mb"), "user_id", "left")
+    unlimited = F.coalesce(F.col("is_admin") | F.coalesce(F.col("available_mb") > 0, F.lit(False)), F.lit(False))
+    asked = cut_lineage(
+        uses.join(people, "user_id", "left").select(
+            "id", "user_id", T.usable_ip(F.col("ip_address")).alias("ip"), F.to_date("created_at").alias("day"),
+            F.struct("created_at", "id").alias("turn"), unlimited.alias("unlimited"),
+        )
+    )
+    accepted = _within_limit(asked.filter("not unlimited").drop("unlimited"), V.TOOL_LIMIT_DAY).select("id", F.lit(True).alias("within"))
+    mode = F.when(F.col("unlimited"), "unlimited").when(F.col("within"), "accepted").otherwise("refused")
+    return asked.join(accepted, "id", "left").select("id", "user_id", "ip", mode.alias("mode"))
+
+
+def _taken(accepted: DataFrame, key: str) -> DataFrame:
+    """Turns of the at most ``limit`` accepted uses per (key, day)."""
+    return accepted.filter(F.col(key).isNotNull()).groupBy(key, "day").agg(F.collect_list("turn").alias(f"{key}_taken"))
+
+
+def _within_limit(uses: DataFrame, limit: int) -> DataFrame:
+    """The accepted ones of ``uses`` (id, user_id, ip, day, turn)."""
+    columns, open_rows = uses.columns, uses
+    accepted = uses.limit(0)
+
+    def earlier(key: str) -> Column:
+        return F.greatest(F.size(F.filter(f"{key}_taken", lambda turn: turn < F.col("turn"))), F.lit(0))
+
+    while True:
+        ranked = open_rows
+        for key in ("user_id", "ip"):
+            leading = _leading(open_rows.filter(F.col(key).isNotNull()), key, limit)
+            ranked = ranked.join(leading, "id", "left").join(_taken(accepted, key), [key, "day"], "left")
+        room = F.lit(True)
+        for key in ("user_id", "ip"):
+            room &= F.col(key).isNull() | (F.coalesce(f"{key}_rank", F.lit(limit + 1)) + earlier(key) <= limit)
+        full = (earlier("user_id") >= limit) | (earlier("ip") >= limit)
+        judged = cut_lineage(ranked.select(*columns, F.when(full, "full").when(room, "room").alias("verdict")))
+        accepted = cut_lineage(accepted.unionByName(judged.filter("verdict = 'room'").select(*columns)))
+        open_rows = judged.filter("verdict is null").select(*columns)
+        if open_rows.isEmpty():
+            return accepted
+
+
 def charge(admitted: DataFrame) -> DataFrame:
     """MB charged per admitted job: its size for credits, nothing for admin and free use."""
     taken = admitted.filter(F.col("mode").isin("admin", "credits", "free"))

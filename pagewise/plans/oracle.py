@@ -135,6 +135,9 @@ def counter(count: str, last: str) -> str:
     return f"case when {last} is not null and cast({last} as date) <> date '2024-01-30' then 0 else {count} end"
 
 
+_USE_ADDRESS = "(case when e.event_id % 17 = 0 then '10.0.0.' else '200.10.0.' end || (e.user_id % 50))"
+
+
 def _rules_values(rules, normalised: bool = True) -> str:
     rows = []
     for i, rule in enumerate(rules):
@@ -309,6 +312,13 @@ VIEWS.update(
         "union all select day, seq, case when m = 'free' then list_append(us, user_id) else us end, case when m = 'free' and ip is not null then list_append(ips, ip) else ips end, id, m from ("
         "select d.day, d.us, d.ips, r.seq, r.user_id, r.ip, r.id, case when list_contains(d.us, r.user_id) then 'user_daily_limit' when r.ip is not null and list_contains(d.ips, r.ip) then 'ip_daily_limit' "
         "when r.file_size_mb > 2 then 'file_too_large' when r.pages_count > 10 then 'too_many_pages' else 'free' end as m from day_walk d join replay r on r.day = d.day and r.seq = d.seq + 1)",
+        "tools": f"select e.event_id as id, e.user_id, {usable(_USE_ADDRESS)} as ip, cast(e.ts as date) as day, e.ts, coalesce(p.role = 'admin' or s.available_mb > 0, false) as unlimited "
+        "from events e left join people p on p.id = e.user_id left join spend s on s.user_id = e.user_id where e.event_type in ('signup', 'purchase')",
+        "tool_turns": "select *, row_number() over (partition by day order by ts, id) as seq from tools where not unlimited",
+        "tool_walk": "select day, cast(0 as bigint) as seq, cast([] as bigint[]) as us, cast([] as varchar[]) as ips, cast(null as bigint) as id, cast(null as varchar) as mode from (select distinct day from tool_turns) "
+        "union all select day, seq, case when m = 'accepted' then list_append(us, user_id) else us end, case when m = 'accepted' and ip is not null then list_append(ips, ip) else ips end, id, m from ("
+        "select d.day, d.us, d.ips, r.seq, r.user_id, r.ip, r.id, case when len(list_filter(d.us, lambda x: x = r.user_id)) >= 2 or (r.ip is not null and len(list_filter(d.ips, lambda x: x = r.ip)) >= 2) then 'refused' else 'accepted' end as m "
+        "from tool_walk d join tool_turns r on r.day = d.day and r.seq = d.seq + 1)",
         "edits": "select conv_id as post_id, cast(turn as integer) as edit_ord, timestamp '2024-01-01 00:00:00' + to_minutes(conv_id * 60 + turn) as ts, case when turn = 0 or turn % 3 = 1 then text end as title, "
         "case when turn % 2 = 0 then substr(text, 61) end as excerpt, text as body_md, case when turn % 4 = 2 then 'cover-' || conv_id end as cover_url, case when turn = 3 then 'Edição Nº ' || conv_id end as slug, "
         "case when turn % 4 = 0 then conv_id % 2 = 0 when turn % 4 = 2 then true when turn % 4 = 3 and conv_id % 3 = 0 then false end as published, "
@@ -456,6 +466,13 @@ _GRANT_REQ = (
 _GRANT_OK = "credits_mb between 1 and 100000 and amount_brl >= 0 and days_valid between 1 and 3650"
 _GRANT_MATCH = f"(select r.*, u.id as user_id, u.total_credits_mb, u.used_credits_mb from {_GRANT_REQ} r join people u on lower(u.email) = lower(trim(r.email)) where {_GRANT_OK.replace('credits_mb', 'r.credits_mb')})"
 
+_USER_MATCHES = (
+    "(select t.doc_id, t.page_number, r.* from texts t join (select *, " + norm("pattern") + " as pnorm from ("
+    "select item_id as rule_ord, 'item_' || (item_id % 50) as doc_type, cast(item_id % 40 as double) / 100 + 0.5 as confidence, 0 as pattern_ord, substr(text, 1, 20) as pattern from benchmark "
+    "union all select item_id, 'item_' || (item_id % 50), cast(item_id % 40 as double) / 100 + 0.5, 1, substr(text, 31, 8) from benchmark)) r "
+    "on r.pnorm <> '' and contains(t.norm, r.pnorm))"
+)
+
 BODIES: dict[str, str] = {
     "page_corpus": "select * from corpus",
     "upload_admission": "select doc_id, filename, reason is null as admitted, reason from (select *, case when not ends_with(lower(filename), '.pdf') then 'not_pdf' when length = 0 then 'empty' "
@@ -503,6 +520,9 @@ BODIES: dict[str, str] = {
     "page_request_text": f"select doc_id, page_number, request from {_REQUESTS}",
     "rule_matches": "select doc_id, page_number, rule_ord, pattern_ord, doc_type, pattern, confidence, plen as pattern_length from matches",
     "page_rule_theta": "select rule_ord, pattern_ord, pattern, count(*) as pages, count(distinct doc_id) as documents from matches group by 1, 2, 3",
+    "rule_table_matches": f"select rule_ord, pattern_ord, pattern, count(*) as pages from {_USER_MATCHES} group by 1, 2, 3",
+    "rule_table_winners": f"select doc_id, page_number, rule_ord, pattern_ord, doc_type, pattern, confidence from {_USER_MATCHES} "
+    "qualify row_number() over (partition by doc_id, page_number order by confidence desc, length(pnorm) desc, rule_ord, pattern_ord) = 1",
     "classify_rules": "select doc_id, page_number, rule_type as doc_type, rule_conf as confidence, rule_pattern as matched_pattern, text_cont as is_continuation, text_cnpj as cnpj from signals where rule_type is not null",
     "classify_supplier": "select doc_id, page_number, rule_type as doc_type, rule_supplier as supplier from signals where rule_type is not null",
     "classify_enrich": "select doc_id, page_number, doc_type, confidence, matched_pattern, cnpj from classified",
@@ -597,6 +617,7 @@ BODIES: dict[str, str] = {
     "admission": "select * from admitted",
     "admission_replay": "select r.id, r.user_id, r.ip, r.file_size_mb, r.pages_count, case when r.admin then 'admin' when r.by_credits then 'credits' else d.mode end as mode from (select * from replay0) r left join (select id, mode from day_walk where id is not null) d on d.id = r.id",
     "charge": "select id, user_id, mode, cast(case when mode = 'credits' then file_size_mb else 0 end as decimal(10,2)) as charged_mb, case when mode = 'free' then 1 else 0 end as free_uses, case when mode = 'free' and ip is not null then 1 else 0 end as ip_free_uses from admitted where mode in ('admin', 'credits', 'free')",
+    "tool_replay": "select r.id, r.user_id, r.ip, case when r.unlimited then 'unlimited' else d.mode end as mode from tools r left join (select id, mode from tool_walk where id is not null) d on d.id = r.id",
     "tool_quota": "select user_id, is_admin or has_credits as unlimited, has_credits, is_admin, cast(case when is_admin or has_credits then 0 else used end as bigint) as used_today, case when not (is_admin or has_credits) then 2 end as daily_limit, cast(case when not (is_admin or has_credits) then greatest(2 - used, 0) end as bigint) as remaining from ("
     f"select p.id as user_id, p.role = 'admin' as is_admin, case when p.id % 2 = 0 then s.available_mb else 0 end > 0 as has_credits, greatest({counter('p.pdf_tools_uses_today', 'p.pdf_tools_last_use')}, coalesce(i.tool_use_count, 0)) as used from people p join spend s on s.user_id = p.id "
     f"left join (select user_id, {usable('ip_address')} as ip from (select user_id, arg_max(ip_address, (created_at, id)) as ip_address from work group by 1)) a on a.user_id = p.id left join used_ip i on i.ip = a.ip and i.usage_date = date '2024-01-30')",

@@ -343,6 +343,29 @@ def page_rule_theta(spark, folder):
     )
 
 
+def _user_rules(spark, folder):
+    """A rule per benchmark passage: its beginning and a piece from its middle."""
+    item = F.col("item_id")
+    return S.read_table(spark, folder, "benchmark").select(
+        item.alias("rule_ord"),
+        F.concat(F.lit("item_"), (item % 50).cast("string")).alias("doc_type"),
+        F.array(F.substring("text", 1, 20), F.substring("text", 31, 8)).alias("patterns"),
+        ((item % 40).cast("double") / 100 + 0.5).alias("confidence"),
+    )
+
+
+@query
+def rule_table_matches(spark, folder):
+    """Pages per pattern of a rule table."""
+    matches = C.indexed_matches(S.corpus(spark, folder), _user_rules(spark, folder))
+    return matches.groupBy("rule_ord", "pattern_ord", "pattern").agg(F.count("*").alias("pages"))
+
+
+@query
+def rule_table_winners(spark, folder):
+    return C.strongest_match(C.indexed_matches(S.corpus(spark, folder), _user_rules(spark, folder)))
+
+
 @query
 def classify_rules(spark, folder):
     return C.apply_rules(S.corpus(spark, folder), RULES).select(
@@ -810,6 +833,12 @@ def tool_quota(spark, folder):
     return L.tool_quota(S.users(spark, folder), balances, addresses, _ip_usage(spark, folder), USAGE_AS_OF)
 
 
+@query
+def tool_replay(spark, folder):
+    uses = S.usage(spark, folder).filter("kind = 'tool'").select(F.col("event_id").alias("id"), "user_id", "ip_address", F.col("ts").alias("created_at"))
+    return L.tool_replay(uses, S.users(spark, folder), _balances(spark, folder))
+
+
 def _grant_requests(spark, folder):
     key = F.col("o_orderkey")
     number = F.lpad((F.col("o_custkey") * F.when(key % 20 == 0, 9999).otherwise(1)).cast("string"), 9, "0")
