@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewise.operators.ordered import BLOCK_ROWS, running_total
+from pagewise.operators.ordered import BLOCK_ROWS, running_total, scan
 from pagewise.session import cut_lineage
 
 ROWS_PER_RANGE = 100_000
@@ -50,16 +50,10 @@ def _fold(requests: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         F.first("budget").cast("bigint").alias("budget"),
         F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("items"),
     )
-    trail = F.aggregate(
-        "items",
-        F.array("budget"),
-        lambda balances, item: F.array_append(
-            balances,
-            F.when(
-                F.element_at(balances, -1) >= item["need"],
-                F.element_at(balances, -1) - F.least(item["charge"].cast("bigint"), F.element_at(balances, -1)),
-            ).otherwise(F.element_at(balances, -1)),
-        ),
+    trail = scan(
+        F.col("items"),
+        F.col("budget"),
+        lambda balance, item: balance - F.when(balance >= item["need"], F.least(item["charge"].cast("bigint"), balance)).otherwise(F.lit(0)),
     )
     walked = gathered.select(
         key,

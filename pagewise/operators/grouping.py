@@ -3,7 +3,7 @@
 Whether a page joins the open group depends on its two neighbours and on three facts about the group:
 it holds a satellite bill, it holds an invoice, it holds a boleto-chain page. So a page is a function
 on eight states, and functions compose. Pages are folded inside blocks of at most 4096 pages; a block is
-again a function on eight states, and only documents longer than one block need their blocks chained.
+again a function on eight states, and only documents longer than one block need theirs chained, span by span.
 No document, however long, is gathered in one place, and the page rows are shuffled once.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
-from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, running_total, with_neighbours
+from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, running_total, scan, with_neighbours
 from pagewise.session import cut_lineage
 
 # Facts about the open group, one bit each.
@@ -22,6 +22,9 @@ HAS_SATELLITE, HAS_INVOICE, HAS_CHAIN = 1, 2, 4
 STATES = 8
 STATE_MASK = STATES - 1
 
+# Blocks that are composed to one span of a long document.
+SPAN_BITS = 10
+
 # What the neighbours decide about a page.
 ALWAYS_SPLIT, ALWAYS_ATTACH, INVOICE, INVOICE_FITTING, FITTING = range(5)
 
@@ -135,14 +138,7 @@ def _block_step(position: Column, ends: Column) -> Column:
     return _step(position, F.get(ends, position.bitwiseAND(F.lit(STATE_MASK))).cast("bigint"))
 
 
-def _trail(items: Column, start: Column, step) -> Column:
-    """Positions after each item, the starting one first."""
-    return F.aggregate(
-        items, F.array(start), lambda trail, item: F.array_append(trail, step(F.element_at(trail, -1), item))
-    )
-
-
-def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS, span_bits: int = SPAN_BITS) -> DataFrame:
     """Every classified page with ``group_seq``, its document's group number counted from 1.
 
     The classified rows are stored first: chaining the blocks of long documents reads them again, and what is
@@ -154,15 +150,13 @@ def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     payload = F.struct("page_number", "move", *[c for c in columns if c not in ("doc_id", "page_number")])
     blocks = features.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(payload)).alias("items"))
 
-    entries = _block_entries(blocks)
+    entries = _block_entries(blocks, span_bits)
     placed = blocks.join(entries, ["doc_id", "block"], "left").withColumn(
         "entry", F.coalesce("entry", F.lit(0).cast("bigint"))
     )
     moves = _moves()
-    trail = _trail(
-        F.col("items"),
-        F.col("entry").bitwiseAND(F.lit(STATE_MASK)).cast("int"),
-        lambda position, item: _page_step(position, item["move"], moves),
+    trail = scan(
+        F.col("items"), F.col("entry").bitwiseAND(F.lit(STATE_MASK)), lambda position, item: _page_step(position, item["move"], moves)
     )
     started = F.shiftright(F.col("entry"), 3)
     exploded = placed.select(
@@ -178,8 +172,20 @@ def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     )
 
 
-def _block_entries(blocks: DataFrame) -> DataFrame:
-    """Where each later block of a long document starts: ``8 * groups so far + state``."""
+def _through(parts: Column) -> Column:
+    """For each of the eight states: ``8 * groups started + state`` after all blocks of ``parts``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(STATE_MASK)),
+        lambda state: F.aggregate(parts, state.cast("bigint"), lambda position, part: _block_step(position, part["ends"])),
+    )
+
+
+def _block_entries(blocks: DataFrame, span_bits: int = SPAN_BITS) -> DataFrame:
+    """Where each later block of a long document starts: ``8 * groups so far + state``.
+
+    A scan by levels: blocks are composed to spans of at most ``2 ** span_bits``, the spans of a document (512 at
+    most) are chained, and each span's entry is carried down through its own blocks.
+    """
     tails = blocks.filter(F.col("block") > 0)
     long_docs = tails.select("doc_id").distinct()
     moves = _moves()
@@ -189,16 +195,25 @@ def _block_entries(blocks: DataFrame) -> DataFrame:
             F.col("items"), state, lambda position, item: _page_step(position, item["move"], moves)
         ),
     )
-    chained = (
+    spans = cut_lineage(
         blocks.join(long_docs, "doc_id", "left_semi")
-        .select("doc_id", F.struct("block", ends.alias("ends")).alias("part"))
-        .groupBy("doc_id")
+        .select("doc_id", F.shiftright("block", span_bits).alias("span"), F.struct("block", ends.alias("ends")).alias("part"))
+        .groupBy("doc_id", "span")
         .agg(F.sort_array(F.collect_list("part")).alias("parts"))
     )
-    trail = _trail(F.col("parts"), F.lit(0).cast("bigint"), lambda position, part: _block_step(position, part["ends"]))
-    return chained.select(
-        "doc_id", F.inline(F.arrays_zip(F.col("parts.block").alias("block"), trail.alias("entry")))
-    ).filter("block > 0")
+    chained = (
+        spans.select("doc_id", F.struct("span", _through(F.col("parts")).alias("ends")).alias("part"))
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list("part")).alias("spans"))
+    )
+
+    def carried(rows: DataFrame, parts: str, number: str, start: Column, out: str, *keys: str) -> DataFrame:
+        trail = scan(F.col(parts), start, lambda position, part: _block_step(position, part["ends"]))
+        pairs = F.arrays_zip(F.col(f"{parts}.{number}").alias(number), F.slice(trail, F.lit(1), F.size(parts)).alias(out))
+        return rows.select(*keys, F.inline(pairs))
+
+    starts = carried(chained, "spans", "span", F.lit(0), "start", "doc_id")
+    return carried(spans.join(starts, ["doc_id", "span"]), "parts", "block", F.col("start"), "entry", "doc_id").filter("block > 0")
 
 
 def _priority(doc_type: Column) -> Column:

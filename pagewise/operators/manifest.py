@@ -118,33 +118,51 @@ def split_ranges(pages: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def delete_errors(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per document whose deletion is refused: it is not there, a page is outside it, or no page would be left."""
+    sizes = requests.select("doc_id", "page_number").distinct().join(_page_counts(pages), "doc_id", "left").groupBy("doc_id", "total_pages").agg(
+        F.count("*").alias("removed"),
+        F.bool_and(F.coalesce(F.col("page_number").between(1, F.col("total_pages")), F.lit(False))).alias("inside"),
+    )
+    error = (
+        F.when(F.col("total_pages").isNull(), "missing_file")
+        .when(~F.col("inside"), "page_outside")
+        .when(F.col("removed") >= F.col("total_pages"), "no_page_left")
+    )
+    return sizes.select("doc_id", error.alias("error")).filter("error is not null")
+
+
 def delete_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Drop the listed pages (doc_id, page_number) and renumber the rest.
 
-    A request naming a page outside its document, or all of its pages, is refused whole.
+    A request naming a page outside its document, or all of its pages, is refused whole; ``delete_errors`` names it.
     """
     listed = requests.select("doc_id", "page_number").distinct()
-    judged = (
-        listed.join(_page_counts(pages), "doc_id")
-        .groupBy("doc_id", "total_pages")
-        .agg(
-            F.count("*").alias("removed"),
-            F.bool_or((F.col("page_number") < 1) | (F.col("page_number") > F.col("total_pages"))).alias("outside"),
-        )
-        .filter(~F.col("outside") & (F.col("removed") < F.col("total_pages")))
-        .select("doc_id")
-    )
+    judged = listed.select("doc_id").distinct().join(delete_errors(pages, requests), "doc_id", "left_anti")
     touched = pages.select("doc_id", "page_number").join(judged, "doc_id", "left_semi")
     kept = touched.join(listed, ["doc_id", "page_number"], "left_anti")
     return position_in_key(kept, ["doc_id"], "page_number", "new_page")
 
 
+def reorder_errors(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per document whose new order is refused: it is not there, has several orders, or the order is no permutation."""
+    asked = requests.groupBy("doc_id").agg(F.count("*").alias("orders"), F.any_value("page_order").alias("page_order"))
+    whole = F.array_sort("page_order") == F.sequence(F.lit(1), F.col("total_pages"))
+    error = (
+        F.when(F.col("total_pages").isNull(), "missing_file")
+        .when(F.col("orders") > 1, "several_orders")
+        .when(~F.coalesce(whole, F.lit(False)), "no_permutation")
+    )
+    return asked.join(_page_counts(pages), "doc_id", "left").select("doc_id", error.alias("error")).filter("error is not null")
+
+
 def reorder_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Pages in the requested order (doc_id, page_order ARRAY<INT>); only permutations of 1..N are applied."""
-    valid = (
-        requests.join(_page_counts(pages), "doc_id")
-        .filter(F.array_sort("page_order") == F.sequence(F.lit(1), F.col("total_pages")))
-        .select("doc_id", F.posexplode("page_order").alias("position", "page_number"))
+    """Pages in the requested order (doc_id, page_order ARRAY<INT>), one order a document.
+
+    Only permutations of 1..N are applied; ``reorder_errors`` names the refused documents.
+    """
+    valid = requests.join(reorder_errors(pages, requests), "doc_id", "left_anti").select(
+        "doc_id", F.posexplode("page_order").alias("position", "page_number")
     )
     return pages.select("doc_id", "page_number").join(valid, ["doc_id", "page_number"]).select(
         "doc_id", "page_number", (F.col("position") + 1).alias("new_page")

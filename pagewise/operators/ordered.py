@@ -7,7 +7,7 @@ Positions are INT, so a key has at most 2**19 blocks: that is the proven bound o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,30 @@ BLOCK_BITS = 12
 BLOCK_ROWS = 1 << BLOCK_BITS
 
 
+PIECE = 64
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], piece: int = PIECE) -> Column:
+    """BIGINT values before each of ``items`` (one at least) and after the last one, from ``start`` on.
+
+    Items are taken piece by piece, so no step copies more than a piece: appending to one array at every item would
+    copy all that is there.
+    """
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(piece)).cast("int")), lambda p: F.slice(items, p * piece + 1, F.lit(piece))
+    )
+
+    def through(done: Column, taken: Column) -> Column:
+        inner = F.aggregate(taken, F.array(done["at"]), lambda trail, item: F.array_append(trail, step(F.element_at(trail, -1), item)))
+        after = lambda trail: F.struct(
+            F.element_at(trail, -1).alias("at"), F.array_append(done["trails"], F.slice(trail, F.lit(1), F.size(taken))).alias("trails")
+        )
+        return F.transform(F.array(inner), after)[0]
+
+    begin = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("trails"))
+    return F.aggregate(pieces, begin, through, lambda done: F.concat(F.flatten(done["trails"]), F.array(done["at"])))
+
+
 def block_of(position: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(position, bits)
 

@@ -561,6 +561,9 @@ BODIES: dict[str, str] = {
     "split_ranges": "select s.doc_id, s.part, 'pagina_' || lpad(cast(start_page as varchar), 4, '0') || '_' || lpad(cast(end_page as varchar), 4, '0') || '.pdf' as filename, c.page_number, c.page_number - s.start_page + 1 as new_page "
     "from splits s join corpus c on c.doc_id = s.doc_id and c.page_number between s.start_page and s.end_page where s.doc_id not in (select doc_id from splits where error is not null)",
     "parse_ranges": "select doc_id, part, start_page, end_page, error from splits where doc_id % 5 <> 4 union all select doc_id, 1, null, null, 'invalid_range' from sizes where doc_id % 5 = 4",
+    "page_request_errors": "select 'merge' as request, merge_id as id, 'too_few_files' as error from (select cast(doc_id // 10 as bigint) as merge_id, 9 - doc_id % 10 as file_ord from sizes) "
+    "where merge_id % 11 <> 5 or file_ord = 4 group by merge_id having count(*) < 2 union all select 'delete', doc_id, 'page_outside' from sizes "
+    "where doc_id % 3 = 2 or (doc_id % 3 = 0 and total_pages < 3) or (doc_id % 3 = 1 and total_pages < 2) union all select 'reorder', doc_id, 'no_permutation' from sizes where doc_id % 4 = 3",
     "delete_pages": "select c.doc_id, c.page_number, cast(row_number() over (partition by c.doc_id order by c.page_number) as integer) as new_page from corpus c join sizes s using (doc_id) "
     "where (c.doc_id % 3 = 0 and s.total_pages >= 3 and c.page_number not in (1, 3)) or (c.doc_id % 3 = 1 and s.total_pages >= 2 and c.page_number <> 2)",
     "reorder_pages": "select c.doc_id, c.page_number, s.total_pages - c.page_number + 1 as new_page from corpus c join sizes s using (doc_id) where c.doc_id % 4 <> 3",
@@ -641,6 +644,9 @@ BODIES: dict[str, str] = {
     "refund_apply": f"select id as request_id, id as transaction_id, user_id, cast(claw as bigint) as credits_clawed_mb, m as refund_amount_brl, case when refunded_credits_mb + claw >= credits_mb then 'refunded' else 'partially_refunded' end as payment_status, cast(refunded_amount_brl + m as {CENT}) as refunded_amount_brl, "
     f"cast(refunded_credits_mb + claw as bigint) as refunded_credits_mb, fee as fee_brl, cast(amount_brl - fee as {CENT}) as net_amount_brl, cast(rest as bigint) as user_available_mb from (select t.*, w.claw, w.rest, cast(case when inv then 0 when w.claw = pack_left then max_money else {refund_share('w.claw')} end as {CENT}) as m "
     "from refund_walk w join terms t on t.id = w.id where w.ok)",
+    "refund_refusals": "select o_orderkey as request_id, o_orderkey as transaction_id, case when p.id is null then 'unknown_transaction' when rs <> '' then rs else 'balance_spent_in_batch' end as block_reasons "
+    f"from orders left join (select id, concat_ws(' ', r1, r2, case when claw <= 0 then '{V.REASON_NO_CREDITS}' end, case when not inv and money <= 0 then '{V.REASON_NO_MONEY}' end, r5) as rs from preview) p on p.id = o_orderkey "
+    "where o_orderkey not in (select id from refund_walk where ok and id is not null)",
     "constraint_checks": "select 'users_credits_valid' as check_name, count(*) as violations from people where used_credits_mb < 0 or used_credits_mb > total_credits_mb union all select 'users_role_known', count(*) from people where role not in ('user', 'admin') union all select 'users_email_present', count(*) from people where email is null "
     "union all select 'transactions_amount_not_negative', count(*) from bought where amount_brl < 0 union all select 'transactions_credits_positive', count(*) from bought where credits_mb <= 0 union all select 'jobs_size_positive', count(*) from work where file_size_mb <= 0 union all select 'jobs_pages_positive', count(*) from work where pages_count <= 0 "
     "union all select 'grants_credits_positive', count(*) from given where credits_mb <= 0 union all select 'grants_amount_not_negative', count(*) from given where amount_brl < 0 union all select 'users_email_unique', count(*) - count(distinct email) from people union all select 'transactions_payment_id_unique', count(*) - count(distinct payment_id) from bought "

@@ -534,13 +534,17 @@ def _manifest(spark, folder):
     return S.corpus(spark, folder).select("doc_id", "page_number")
 
 
-@query
-def merge_docs(spark, folder):
+def _merge_requests(spark, folder):
     """Merges of ten documents each in reverse order; every eleventh merge names a single file."""
     requests = S.read_table(spark, folder, "documents").select(
         F.floor(F.col("doc_id") / 10).cast("bigint").alias("merge_id"), (9 - F.col("doc_id") % 10).cast("int").alias("file_ord"), "doc_id"
     )
-    return M.merge_docs(_manifest(spark, folder), requests.filter("merge_id % 11 != 5 or file_ord = 4"))
+    return requests.filter("merge_id % 11 != 5 or file_ord = 4")
+
+
+@query
+def merge_docs(spark, folder):
+    return M.merge_docs(_manifest(spark, folder), _merge_requests(spark, folder))
 
 
 def _split_requests(spark, folder):
@@ -559,21 +563,40 @@ def parse_ranges(spark, folder):
     return M.split_requests(_manifest(spark, folder), _split_requests(spark, folder))
 
 
-@query
-def delete_pages(spark, folder):
+def _delete_requests(spark, folder):
     doc = F.col("doc_id")
-    listed = S.read_table(spark, folder, "documents").select(
+    return S.read_table(spark, folder, "documents").select(
         "doc_id", F.explode(F.when(doc % 3 == 0, F.array(F.lit(1), F.lit(3))).when(doc % 3 == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(0)))).alias("page_number")
     )
-    return M.delete_pages(_manifest(spark, folder), listed)
 
 
 @query
-def reorder_pages(spark, folder):
+def delete_pages(spark, folder):
+    return M.delete_pages(_manifest(spark, folder), _delete_requests(spark, folder))
+
+
+def _reorder_requests(spark, folder):
     size = F.size(F.split("text", "\n"))
     order = F.when(F.col("doc_id") % 4 == 3, F.array(F.lit(1), F.lit(1))).otherwise(F.reverse(F.sequence(F.lit(1), size)))
-    requests = S.read_table(spark, folder, "documents").select("doc_id", order.alias("page_order"))
-    return M.reorder_pages(_manifest(spark, folder), requests)
+    return S.read_table(spark, folder, "documents").select("doc_id", order.alias("page_order"))
+
+
+@query
+def reorder_pages(spark, folder):
+    return M.reorder_pages(_manifest(spark, folder), _reorder_requests(spark, folder))
+
+
+@query
+def page_request_errors(spark, folder):
+    """Every refused merge, deletion and reordering with its reason."""
+    pages = _manifest(spark, folder)
+    refused = {
+        "merge": M.merge_errors(pages, _merge_requests(spark, folder)).withColumnRenamed("merge_id", "id"),
+        "delete": M.delete_errors(pages, _delete_requests(spark, folder)).withColumnRenamed("doc_id", "id"),
+        "reorder": M.reorder_errors(pages, _reorder_requests(spark, folder)).withColumnRenamed("doc_id", "id"),
+    }
+    parts = [rows.select(F.lit(kind).alias("request"), "id", "error") for kind, rows in refused.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -966,6 +989,12 @@ def refund_apply(spark, folder):
     return R.refund_apply(S.refund_requests(spark, folder), S.transactions(spark, folder), S.users(spark, folder), S.provider_payments(spark, folder))
 
 
+@query
+def refund_refusals(spark, folder):
+    refused = R.refund_refusals(S.refund_requests(spark, folder), S.transactions(spark, folder), S.users(spark, folder), S.provider_payments(spark, folder))
+    return refused.withColumn("block_reasons", F.array_join("block_reasons", " "))
+
+
 @query
 def constraint_checks(spark, folder):
     return Q.constraint_checks(

@@ -39,6 +39,20 @@ def test_merge_with_missing_file_is_refused(spark):
     assert [(r.merge_id, r.doc_id, r.new_page) for r in merged] == [(1, 1, 1), (1, 1, 2), (1, 2, 3)]
 
 
+def test_refused_deletions_and_orders_are_named(spark):
+    pages = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2)], "doc_id long, page_number int")
+    asked = [(1, 1), (1, 1), (2, 1), (3, 3), (3, 1), (4, None), (9, 1)]
+    deletions = spark.createDataFrame(asked, "doc_id long, page_number int")
+    errors = {r.doc_id: r.error for r in manifest.delete_errors(pages, deletions).collect()}
+    assert errors == {2: "no_page_left", 3: "page_outside", 4: "page_outside", 9: "missing_file"}
+    assert [tuple(r) for r in manifest.delete_pages(pages, deletions).collect()] == [(1, 2, 1)]
+    orders = [(1, [2, 1]), (2, [1]), (2, [1]), (3, [1]), (4, None), (9, [1])]
+    reorders = spark.createDataFrame(orders, "doc_id long, page_order array<int>")
+    errors = {r.doc_id: r.error for r in manifest.reorder_errors(pages, reorders).collect()}
+    assert errors == {2: "several_orders", 3: "no_permutation", 4: "no_permutation", 9: "missing_file"}
+    assert sorted(map(tuple, manifest.reorder_pages(pages, reorders).collect())) == [(1, 1, 2), (1, 2, 1)]
+
+
 def test_tied_notices_give_one_answer_in_any_order(spark):
     at = dt.datetime(2024, 1, 1)
     base = dict(package_id="p", fee_brl=1, net_amount_brl=2, payment_method="pix", ts=at)

@@ -188,8 +188,8 @@ def scan(pages):
     return sequence
 
 
-@pytest.mark.parametrize("bits", [2, 12])
-def test_random_documents_match_the_scan(spark, bits):
+@pytest.mark.parametrize("bits, span_bits", [(2, 1), (2, 10), (12, 10)])
+def test_random_documents_match_the_scan(spark, bits, span_bits):
     rng = random.Random(7)
     kinds = ["viasat_fatura", "nfe", "nfe", "comprovante_pagamento", "boleto_outros_bancos", "recibo_pagador",
              "conta_energia", "imposto_municipal", "darf", "pix_comprovante", V.UNKNOWN, "fgts_guia", "ipva"]
@@ -207,7 +207,7 @@ def test_random_documents_match_the_scan(spark, bits):
         rows += [(doc, i, p["t"], p["s"], p["c"], "rule", p["m"], p["k"], p["n"]) for i, p in enumerate(pages, 1)]
     df = spark.createDataFrame(rows, schemas.CLASSIFIED)
     got = {}
-    for r in G.assign_groups(df, bits).orderBy("doc_id", "page_number").collect():
+    for r in G.assign_groups(df, bits, span_bits).orderBy("doc_id", "page_number").collect():
         got.setdefault(r.doc_id, []).append(r.group_seq)
     assert got == expected
 

@@ -89,3 +89,13 @@ def test_admission_replay_matches_the_log(spark):
     got = {r.id: r.mode for r in L.admission_replay(df, users, held).collect()}
     assert got == expected
     assert "free" in got.values() and "ip_daily_limit" in got.values()
+
+
+def test_scan_takes_items_piece_by_piece(spark):
+    from pagewise.operators.ordered import scan
+
+    rows = [(n, list(range(n))) for n in (1, 2, 3, 4, 5, 9, 130)]
+    frame = spark.createDataFrame(rows, "n int, items array<int>")
+    for piece in (1, 4, 64):
+        got = frame.select("n", scan(F.col("items"), F.lit(7), lambda total, item: total + item, piece).alias("trail")).collect()
+        assert {r.n: r.trail for r in got} == {n: [7 + sum(range(k)) for k in range(n + 1)] for n, _ in rows}

@@ -15,8 +15,8 @@ TABLES = (
 ).split()
 CHECKED = (
     "normalize_text classify_pages fallback_merge classify_distinct group_pages coverage_check index_report document_sink "
-    "merge_docs split_ranges pick_line user_dashboard paid_accounts invoiced_accounts finance_summary consume_credits "
-    "admission admission_replay tool_replay rule_table_matches rule_table_winners fulfil_payments refund_preview refund_apply publish_state constraint_checks stream_ip_usage"
+    "merge_docs page_request_errors delete_pages reorder_pages split_ranges pick_line user_dashboard paid_accounts invoiced_accounts finance_summary consume_credits "
+    "admission admission_replay tool_replay rule_table_matches rule_table_winners fulfil_payments refund_preview refund_apply refund_refusals publish_state constraint_checks stream_ip_usage"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables are not here")
