@@ -294,9 +294,10 @@ def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
         ranges.unionByName(whole).select("doc_id", F.inline(ends)).groupBy("doc_id", "at").agg(F.sum("group").alias("groups"), F.sum("page").alias("pages"))
     )
     placed = with_neighbours(changes, following=("at",), page="at")
-    for name in ("groups", "pages"):
-        placed = running_total(placed, ["doc_id"], ["at"], F.col(name), f"{name}_before")
-    covered, expected = F.col("groups_before") + F.col("groups"), F.col("pages_before") + F.col("pages")
+    # Neither running sum is ever negative, so one sum carries both: documents above 32 bits of groups.
+    both = F.shiftleft("pages", 32) + F.col("groups")
+    placed = running_total(placed, ["doc_id"], ["at"], both, "before").withColumn("now", F.col("before") + both)
+    covered, expected = F.col("now").bitwiseAND(F.lit(2**32 - 1)), F.shiftright("now", 32)
     violation = (
         F.when((covered == 0) & (expected > 0), "missing").when(covered > 1, "overlap").when((covered == 1) & (expected == 0), "extra")
     )
