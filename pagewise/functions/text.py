@@ -245,9 +245,13 @@ def is_admin(role: Column, email: Column, admin_emails: tuple[str, ...] = ()) ->
     return by_role | address.isin(*[item.strip().lower() for item in admin_emails])
 
 
-def page_request_text(page_number: Column, text: Column, previous_type: Column, previous_supplier: Column) -> Column:
-    """Request body for the fallback model: excerpt plus what the previous page turned out to be."""
-    excerpt = F.substring(strip_text(F.coalesce(text, F.lit(""))), 1, V.EXCERPT_LENGTH)
+def request_excerpt(text: Column) -> Column:
+    """Beginning of the stripped text; white space the cut ends on stays."""
+    return F.substring(strip_text(F.coalesce(text, F.lit(""))), 1, V.EXCERPT_LENGTH)
+
+
+def page_request_text(page_number: Column, excerpt: Column, previous_type: Column, previous_supplier: Column) -> Column:
+    """Request body for the fallback model: ``request_excerpt`` plus what the previous page turned out to be."""
     none = F.lit(V.NO_PREVIOUS)
     return F.concat(
         F.lit("Texto extraído da página "),

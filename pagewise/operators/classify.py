@@ -313,12 +313,11 @@ def fallback_requests(
 
     Only those pages carry their text through the shuffle that looks up the previous page.
     """
-    excerpt = F.substring(T.strip_text(F.col("text")), 1, V.EXCERPT_LENGTH)
     signals = page_signals(with_text(pages), rules, keep=("text",))
     weak = F.coalesce(F.col("rule_confidence"), F.lit(0.0)) < threshold
     classified = (
         enrich(signals.withColumns(_raw_result()).withColumn("weak", weak))
-        .withColumn("excerpt", F.when(F.col("weak"), excerpt))
+        .withColumn("excerpt", F.when(F.col("weak"), T.request_excerpt(F.col("text"))))
         .select("doc_id", "page_number", "doc_type", "supplier", "weak", "excerpt")
     )
     placed = with_neighbours(classified, previous=("doc_type", "supplier"))

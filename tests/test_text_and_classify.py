@@ -115,6 +115,13 @@ def test_fallback(spark):
     ]
 
 
+def test_request_keeps_the_space_its_excerpt_ends_on(spark):
+    texts = ["  " + "ab " * 2500, "\t" + "a" * (V.EXCERPT_LENGTH - 1) + "\u00a0b", " curto "]
+    rows = C.fallback_requests(pages_of(spark, texts)).orderBy("page_number").collect()
+    for row, text in zip(rows, texts, strict=True):
+        assert row.request.split('"""')[1] == "\n" + text.strip()[: V.EXCERPT_LENGTH] + "\n"
+
+
 def test_mixed_file_end_to_end(spark):
     texts = [
         "MOVIMENTO DE CAIXA\nEntrada/Saída do mês de julho",
