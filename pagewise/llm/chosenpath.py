@@ -3,7 +3,7 @@
 A document is the set of its 5-word shingles, seen through ``SIZE`` minwise hash values. A tree starts with all sets in
 one node. Each node draws one or two minwise coordinates at random; a child holds the sets that agree in one of them.
 Nodes of at most ``LEAF`` sets are compared exhaustively, inside the task that holds the node, on one byte of each minwise
-value. The chance that a pair of a given similarity stays together on some path of any length is a fixed point of the
+value. The chance that a pair of a given similarity stays together on some path down to the last level follows from the
 branching; independent trees repeat this until the target recall is met (``trees_for``).
 
 Two sets whose bytes agree often enough are candidates. The trees only have to find the classes of candidates, so a node
@@ -76,12 +76,14 @@ _PLACES = _DRAW.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 def trees_for(similarity: float, recall: float = TARGET_RECALL) -> int:
     """Independent trees after which a pair of ``similarity`` has met with chance ``recall``.
 
+    A pair meets for good when some node of level ``DEPTH`` holds it: nodes that end earlier are compared whole. (On paths
+    without an end, pairs that agree in at most 1 / 1.5 of the coordinates would part for certain, whatever the trees.)
     All trees draw from the same ``SIZE`` coordinates, so the chance is averaged over how many of them the pair agrees in.
     """
     missed = []
     for agreed in range(SIZE + 1):
         meet = 1.0
-        for _ in range(200):
+        for _ in range(DEPTH):
             meet = 1 - (1 - agreed / SIZE * meet) * (1 - SECOND_BRANCH * agreed / SIZE * meet)
         weight = math.comb(SIZE, agreed) * similarity**agreed * (1 - similarity) ** (SIZE - agreed)
         missed.append((weight, 1 - meet))

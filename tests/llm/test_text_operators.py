@@ -117,6 +117,22 @@ def test_near_duplicates_empty_and_stage(spark, documents):
     assert {20, 21, 22} & {r.doc_id for r in kept.collect()} == set()
 
 
+@pytest.mark.parametrize("similarity", [0.80, 0.85])
+def test_trees_keep_pairs_together_to_the_last_level(similarity):
+    trees = chosenpath.trees_for(similarity)
+    assert trees <= 20
+    draw = np.random.default_rng(5)
+    agreed = draw.binomial(chosenpath.SIZE, similarity, 20_000) / chosenpath.SIZE
+    met = np.zeros(len(agreed), dtype=bool)
+    for _ in range(trees):
+        paths = np.ones(len(agreed), dtype=int)
+        for _ in range(chosenpath.DEPTH):
+            branches = paths + draw.binomial(paths, chosenpath.SECOND_BRANCH)
+            paths = draw.binomial(branches, agreed)
+        met |= paths > 0
+    assert 1 - met.mean() <= 2 * (1 - chosenpath.TARGET_RECALL)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in chosenpath.components(edges).collect()} == {1}
