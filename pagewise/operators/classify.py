@@ -21,7 +21,7 @@ from pagewise.session import cut_lineage
 
 MAX_RULES = 10_000
 #: Length of the grams a rule table is indexed by.
-GRAM = 3
+GRAM = 6
 RESULT = ("doc_type", "supplier", "confidence", "source", "matched_pattern", "is_continuation", "cnpj")
 CLASSIFIED_COLUMNS = ("doc_id", "page_number") + RESULT
 
@@ -117,7 +117,8 @@ def indexed_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``rule_matches`` for a rule *table* (rule_ord, doc_type, patterns, confidence) of any size.
 
     An inverted index: every pattern is posted under the one of its grams of ``GRAM`` characters that the fewest pages
-    hold, pages meet the postings by their distinct grams, and each pair met is verified on the text. The plan does not
+    hold, pages meet the postings by their distinct grams, and each pair met is verified on the text. Grams of pages that
+    no pattern has go at once; the others are stored, counted and met with the postings from there. The plan does not
     grow with the rules, and nothing but gram lengths comes to the driver. A pattern shorter than a gram is posted whole.
     Patterns are literal text; a pattern that is null or blank after normalisation matches nothing.
     """
@@ -132,13 +133,14 @@ def indexed_matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     sizes = sorted(row[0] for row in patterns.select(size).distinct().collect())
     texts = with_text(pages).select("doc_id", "page_number", "norm")
     held = F.array_distinct(F.flatten(F.array(*[grams("norm", n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    shown = texts.select("doc_id", "page_number", F.explode(held).alias("gram"))
     whole = F.length("pattern_norm") < GRAM
     own = patterns.select(
         "rule_ord", "pattern_ord",
         F.explode(F.when(whole, F.array("pattern_norm")).otherwise(F.array_distinct(grams("pattern_norm", GRAM)))).alias("gram"),
     )
-    often = shown.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("pages"))
+    shown = texts.select("doc_id", "page_number", F.explode(held).alias("gram"))
+    shown = cut_lineage(shown.join(own.select("gram").distinct(), "gram", "left_semi"))
+    often = shown.groupBy("gram").agg(F.count("*").alias("pages"))
     posted = (
         own.join(often, "gram", "left")
         .groupBy("rule_ord", "pattern_ord")

@@ -8,6 +8,7 @@ import pytest
 
 from pagewise.functions import values as V
 from pagewise.operators import classify, grouping, ledger
+from pagewise.session import cut_lineage
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -118,3 +119,14 @@ def test_rule_table_gives_the_matches_of_the_dictionary(spark):
     chosen = {r.doc_id: (r.doc_type, r.matched_pattern) for r in classify.apply_rules(pages, rules).collect()}
     assert won == chosen
     assert classify.indexed_matches(pages, table.limit(0)).count() == 0
+
+
+def test_rule_table_takes_page_grams_once_and_drops_what_no_pattern_has(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(classify, "cut_lineage", lambda df: cuts.append(cut_lineage(df)) or cuts[-1])
+    texts = ["abcd cdef efgh fghi", "xx abcdefghi yy", "abcdefghi " * 500]
+    pages = spark.createDataFrame([(i, 1, t, None) for i, t in enumerate(texts)], "doc_id long, page_number int, native_text string, ocr_text string")
+    table = classify.rules_table(spark, (V.Rule("a", ("abcdefghi",), None, 0.9),))
+    assert {r.doc_id for r in classify.indexed_matches(pages, table).collect()} == {1, 2}
+    # Page 0 shares grams of three and four characters with the pattern; a gram counts once a page.
+    assert len(cuts) == 2 and sorted(r.doc_id for r in cuts[1].collect()) == [1] * 4 + [2] * 4
