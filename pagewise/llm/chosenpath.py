@@ -15,6 +15,8 @@ can only add candidates.
 Links are then confirmed on full sets, exactly and inside tasks. A set belongs to one class and is sent once. A class too
 large for one task is cut into blocks: some of its sets are held against all blocks, true links to them make balls, and
 only the sets outside the largest ball meet the other blocks, each time giving one link for every two balls that are joined.
+n sets make about sqrt(n) / 8 blocks, so at most n * sqrt(n) / 8 rows meet; the comparisons inside tasks stay all pairs of the
+sets outside. Above 2 million shingles a block no longer grows, and rows are those over the number of blocks this gives.
 
 Equal sets are one vertex, so copies cost nothing. Links become classes by large-star and small-star rounds.
 
@@ -54,6 +56,8 @@ STAR_LEVELS = (2,)
 TARGET_RECALL = 0.9999
 #: A class is confirmed in blocks of about so many sets, or of so many shingles; and sets held against all blocks of one.
 BLOCK, VOLUME, PIVOTS = 256, 2_000_000, 32
+#: Sets of two blocks that are multiplied at once.
+PATCH = 512
 #: Different shingles whose sets are multiplied at once.
 COLUMNS = 4096
 #: Pairs whose minwise values agree in fewer places are not looked at: five deviations below 0.85 or 0.80 of 64.
@@ -150,17 +154,33 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(_signed, "doc_id long, n_shingles long, mark binary, minima array<int>, sketch array<tinyint>")
 
 
+def _drawn(node: Column) -> list[Column]:
+    """The children of ``node`` that hold a set with ``minima``; the second is null where the node has one branch."""
+    drawn = [F.xxhash64(node, F.lit(branch)) for branch in range(2)]
+    first, second = (F.xxhash64(at, F.element_at("minima", (F.pmod(at, F.lit(SIZE)) + 1).cast("int"))) for at in drawn)
+    return [first, F.when(F.pmod(F.xxhash64(node, F.lit("fork")), F.lit(1000)) < int(1000 * SECOND_BRANCH), second)]
+
+
 def _children(nodes: DataFrame) -> DataFrame:
-    """Rows (node, rep, ball) one level below ``nodes`` (node, rep, ball, minima): a child for each drawn coordinate and value."""
-    drawn = [F.xxhash64(F.col("node"), F.lit(branch)) for branch in range(2)]
-    child = [F.xxhash64(at, F.element_at("minima", (F.pmod(at, F.lit(SIZE)) + 1).cast("int"))) for at in drawn]
-    forks = F.pmod(F.xxhash64(F.col("node"), F.lit("fork")), F.lit(1000)) < int(1000 * SECOND_BRANCH)
-    reached = F.when(forks, F.array(*child)).otherwise(F.array(child[0]))
-    return nodes.select("rep", "ball", F.explode(reached).alias("node"))
+    """Rows (node, rep, ball, first, second) one level below ``nodes`` (node, rep, ball, minima): a child for each drawn coordinate and value.
+
+    ``first`` and ``second`` are the set's nodes one more level down, so that minima are fetched for every other level only.
+    """
+    reached = nodes.select("rep", "ball", "minima", F.explode(F.array_compact(F.array(*_drawn(F.col("node"))))).alias("node"))
+    first, second = _drawn(F.col("node"))
+    return reached.select("rep", "ball", "node", first.alias("first"), second.alias("second"))
+
+
+def _grandchildren(nodes: DataFrame) -> DataFrame:
+    """Rows (node, rep, ball) one level below the rows of ``_children``."""
+    return nodes.select("rep", "ball", F.explode(F.array_compact(F.array("first", "second"))).alias("node"))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """Add the node's size, largest ball and how many sets lie outside it; nodes of one ball are finished and gone."""
+    """Add the node's size, largest ball and how many sets lie outside it; nodes of one ball are finished and gone.
+
+    ``nodes`` is read twice: what a join makes is stored first.
+    """
     balls = nodes.groupBy("node", "ball").agg(F.count("*").alias("n"))
     sizes = balls.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "ball")).alias("top"))
     sizes = sizes.select("node", "size", F.col("top.ball").alias("top"), (F.col("size") - F.col("top.n")).alias("outside"))
@@ -293,10 +313,15 @@ def _stars(dense: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return stored(_dense_pairs(dense, sets, least).select(*_ordered(F.col("pivot"), F.col("rep"))).distinct())
 
 
-def _balls(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``sets`` (rep) with ball: the class of ``links`` that a set is in; else the set itself."""
-    classes = components(links)
-    return sets.select("rep").join(classes, F.col("rep") == F.col("vertex"), "left").select("rep", F.coalesce("component", "rep").alias("ball"))
+def _balls(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (rep and more) with ball: the class of ``links`` that a set is in; else the set itself."""
+    placed = rows.join(components(links), F.col("rep") == F.col("vertex"), "left")
+    return placed.withColumn("ball", F.coalesce("component", "rep")).drop("vertex", "component")
+
+
+def _finished(sized: DataFrame) -> DataFrame:
+    """Rows of nodes that are compared whole."""
+    return sized.filter(F.col("outside") <= LEAF).select("node", "rep", "ball", "top", "size")
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
@@ -306,14 +331,20 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     nodes = sets.select("rep", F.col("rep").alias("ball"), "minima", F.explode(F.array(*trees)).alias("node"))
     small, found = [], []
     for level in range(1, DEPTH + 1):
-        sized = stored(_sized(_children(nodes)))
+        if level % 2 == 0:
+            sized = stored(_sized(_grandchildren(large)))
+        elif level == 1:
+            sized = stored(_sized(_children(nodes)))
+        else:
+            sized = stored(_sized(stored(_children(large.select("node", "rep", "ball").join(sets.select("rep", "minima"), "rep")))))
+        small.append(_finished(sized))
+        large = sized.filter(F.col("outside") > LEAF)
         if level in STAR_LEVELS:
-            stars = _stars(sized.filter(F.col("outside") > LEAF), sets, least)
+            stars = _stars(large, sets, least)
             found.append(stars)
-            sized = stored(_sized(sized.select("node", "rep").join(_balls(sets, stars), "rep").select("node", "rep", "ball")))
-        small.append(sized.filter(F.col("outside") <= LEAF).select("node", "rep", "ball", "top", "size"))
-        large = sized.filter(F.col("outside") > LEAF)
-        nodes = large.select("node", "rep", "ball").join(sets.select("rep", "minima"), "rep")
+            sized = stored(_sized(stored(_balls(large.drop("ball", "size", "top", "outside"), stars))))
+            small.append(_finished(sized))
+            large = sized.filter(F.col("outside") > LEAF)
     found.append(_node_pairs(reduce(DataFrame.union, small), sets, least))
     # Dense to the last level: one class.
     low = large.groupBy("node").agg(F.min("rep").alias("a"))
@@ -332,10 +363,11 @@ def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
     total = np.zeros((len(first), len(second)), dtype=np.int64)
-    ends = np.searchsorted(place, np.arange(0, int((count > 1).sum()) + COLUMNS, COLUMNS))
+    width = min(COLUMNS, max(1, int((count > 1).sum())))
+    ends = np.searchsorted(place, np.arange(0, int((count > 1).sum()) + width, width))
     for low, high in zip(ends[:-1], ends[1:], strict=True):
-        held = np.zeros((len(both), COLUMNS), dtype=np.float32)
-        held[row[low:high], place[low:high] % COLUMNS] = 1
+        held = np.zeros((len(both), width), dtype=np.float32)
+        held[row[low:high], place[low:high] % width] = 1
         total += (held[: len(first)] @ held[len(first) :].T).astype(np.int64)
     return total
 
@@ -348,13 +380,19 @@ def _confirmed_in(percent: int):
         first, second = (np.flatnonzero(block == cell[side].iloc[0]) for side in ("i", "j"))
         shingles = cell["shingles"].to_list()
         sizes = np.array([len(s) for s in shingles])
-        common = _shared([shingles[k] for k in first], [shingles[k] for k in second])
-        union = sizes[first][:, None] + sizes[second][None, :] - common
-        x, y = np.nonzero((100 * common >= percent * union) & (ball[first][:, None] != ball[second][None, :]))
-        x, y = first[x], second[y]
-        kept = Classes().spanning(ball[x], ball[y]) if len(x) else []
-        x, y = rep[x[kept]], rep[y[kept]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        classes, found = Classes(), [np.empty((2, 0), dtype=np.int64)]
+        for low in range(0, len(first), PATCH):
+            # A block against itself: patches below the diagonal repeat those above.
+            for start in range(low if cell["i"].iloc[0] == cell["j"].iloc[0] else 0, len(second), PATCH):
+                own, others = first[low : low + PATCH], second[start : start + PATCH]
+                common = _shared([shingles[k] for k in own], [shingles[k] for k in others])
+                union = sizes[own][:, None] + sizes[others][None, :] - common
+                x, y = np.nonzero((100 * common >= percent * union) & (ball[own][:, None] != ball[others][None, :]))
+                x, y = own[x], others[y]
+                kept = classes.spanning(ball[x], ball[y]) if len(x) else []
+                found.append(np.sort([rep[x[kept]], rep[y[kept]]], axis=0))
+        a, b = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -387,7 +425,9 @@ def confirmed(clusters: DataFrame, sets: DataFrame, docs: DataFrame, percent: in
     ``clusters`` has (rep, cluster); full sets are made once from the texts of the clusters' sets.
     """
     members = clusters.join(sets.select("rep", "n_shingles"), "rep")
-    cut = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(VOLUME)))
+    # A set meets every block, so blocks grow with the square root of the class, and its rows do not grow with its square.
+    most = F.count("*") / F.lit(BLOCK)
+    cut = F.ceil(F.greatest(F.least(most, 2 * F.sqrt(most)), F.sum("n_shingles") / F.lit(VOLUME)))
     members = stored(members.join(members.groupBy("cluster").agg(F.count("*").alias("n"), cut.alias("blocks")), "cluster"))
     texts = docs.join(members.drop("n_shingles").hint("merge"), docs["doc_id"] == members["rep"]).select("rep", "cluster", "n", "blocks", "text")
     full = stored(texts.mapInPandas(_full, "rep long, cluster long, n long, blocks long, shingles array<long>").dropDuplicates(["rep"]))
@@ -410,7 +450,7 @@ def _large_links(full: DataFrame, members: DataFrame, percent: int) -> DataFrame
     held = held.withColumn("block", F.lit(-1).cast("long")).withColumn("i", F.lit(-1).cast("long"))
     columns = ["cluster", "i", "j", "block", "rep", "shingles"]
     first = stored(_in_cells(own.select(columns).union(held.select(columns)).withColumn("ball", F.col("rep")), percent).distinct())
-    balls = stored(members.join(_balls(members, first), "rep"))
+    balls = stored(_balls(members, first))
     tops = balls.groupBy("cluster", "ball").agg(F.count("*").alias("inside")).groupBy("cluster").agg(F.max(F.struct("inside", "ball")).alias("top"))
     placed = balls.join(tops.select("cluster", "top"), "cluster").filter("n > top.inside")
     # Blocks are as full as before, so their number is shared out by the sets inside and outside.

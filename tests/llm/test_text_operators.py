@@ -357,3 +357,63 @@ def test_near_duplicates_of_a_group_without_its_base(spark, percent):
     sets = chosenpath.signatures(docs).selectExpr("doc_id as rep", "n_shingles", "minima", "sketch")
     # All pairs would be 44,850 links.
     assert chosenpath.candidates(chosenpath.stored(sets), percent).count() < 20 * len(texts)
+
+
+def _near_texts(n: int) -> list[str]:
+    """Near copies of one text, of which many are alike by less than 0.85."""
+    draw, base, texts = random.Random(5), [f"w{i}" for i in range(150)], []
+    for _ in range(n):
+        words = list(base)
+        for k in draw.sample(range(150), draw.randrange(1, 7)):
+            words[k] = f"x{draw.randrange(10**9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def _rows_of_joins_on(spark, name: str, before: int) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for at in range(before, executions.size()):
+        number = executions.apply(at).executionId()
+        metrics, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and f"[{name}#" in node.desc():
+                counts = [m for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows"]
+                total += sum(int(metrics.get(m.accumulatorId()).get().replace(",", "")) for m in counts if metrics.contains(m.accumulatorId()))
+    return total
+
+
+def test_trees_over_a_dense_group_join_few_rows_a_set(spark):
+    """Minima are fetched for every other level, and what a join makes is not made again to count its nodes."""
+    docs = spark.createDataFrame(list(enumerate(_near_texts(800))), "doc_id long, text string")
+    sets = chosenpath.stored(chosenpath.signatures(docs).selectExpr("doc_id as rep", "n_shingles", "minima", "sketch"))
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    chosenpath.candidates(sets, 85).count()
+    assert 0 < _rows_of_joins_on(spark, "rep", before) < 60 * 800
+
+
+def test_rows_that_confirm_a_class_do_not_grow_with_its_square(spark, monkeypatch):
+    rows, in_cells = [], chosenpath._in_cells
+    monkeypatch.setattr(chosenpath, "BLOCK", 8)
+    monkeypatch.setattr(chosenpath, "PATCH", 20)
+    monkeypatch.setattr(chosenpath, "_in_cells", lambda cells, percent: rows.append(cells.count()) or in_cells(cells, percent))
+    counts = []
+    for n in (150, 600):
+        texts = _near_texts(n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sets = chosenpath.stored(chosenpath.signatures(docs).selectExpr("doc_id as rep", "n_shingles", "minima", "sketch"))
+        clusters = sets.selectExpr("rep", "0L as cluster")
+        rows.clear()
+        got = {(r["vertex"], r["component"]) for r in chosenpath.components(chosenpath.confirmed(clusters, sets, docs, 85)).collect()}
+        counts.append(sum(rows))
+        shingles = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
+        least = list(range(n))
+        for a in range(n):
+            for b in range(a):
+                both = len(shingles[a] & shingles[b])
+                if 100 * both >= 85 * (len(shingles[a]) + len(shingles[b]) - both) and least[a] != least[b]:
+                    low, high = sorted((least[a], least[b]))
+                    least = [low if x == high else x for x in least]
+        assert got == {(a, c) for a, c in enumerate(least) if least.count(c) > 1}
+    assert counts[1] < 10 * counts[0], counts
