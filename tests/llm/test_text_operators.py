@@ -417,3 +417,13 @@ def test_rows_that_confirm_a_class_do_not_grow_with_its_square(spark, monkeypatc
                     least = [low if x == high else x for x in least]
         assert got == {(a, c) for a, c in enumerate(least) if least.count(c) > 1}
     assert counts[1] < 10 * counts[0], counts
+
+
+def test_trees_over_a_dense_group_end_early(spark, monkeypatch):
+    """Rows at even levels: 32 a member, and all levels asked for, where only nodes of 32 sets are compared whole."""
+    rows, below = [], chosenpath._grandchildren
+    monkeypatch.setattr(chosenpath, "_grandchildren", lambda nodes: rows.append((made := below(nodes)).count()) or made)
+    docs = spark.createDataFrame(list(enumerate(_near_texts(1500))), "doc_id long, text string")
+    sets = chosenpath.stored(chosenpath.signatures(docs).selectExpr("doc_id as rep", "n_shingles", "minima", "sketch"))
+    assert chosenpath.candidates(sets, 80).count() >= 1499
+    assert len(rows) < 4 and sum(rows) < 15 * 1500, rows
