@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
-from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, running_total, scan, with_neighbours
+from pagewise.operators.ordered import BLOCK_BITS, block_of, explode_range, in_first_block, running_total, scan, with_neighbours
 from pagewise.session import cut_lineage
 
 # Facts about the open group, one bit each.
@@ -150,10 +150,12 @@ def assign_groups(classified: DataFrame, bits: int = BLOCK_BITS, span_bits: int
     payload = F.struct("page_number", "move", *[c for c in columns if c not in ("doc_id", "page_number")])
     blocks = features.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(payload)).alias("items"))
 
-    entries = _block_entries(blocks, span_bits)
-    placed = blocks.join(entries, ["doc_id", "block"], "left").withColumn(
-        "entry", F.coalesce("entry", F.lit(0).cast("bigint"))
-    )
+    if in_first_block(known, F.col("page_number") - 1, bits):
+        placed = blocks.withColumn("entry", F.lit(0).cast("bigint"))
+    else:
+        placed = blocks.join(_block_entries(blocks, span_bits), ["doc_id", "block"], "left").withColumn(
+            "entry", F.coalesce("entry", F.lit(0).cast("bigint"))
+        )
     moves = _moves()
     trail = scan(
         F.col("items"), F.col("entry").bitwiseAND(F.lit(STATE_MASK)), lambda position, item: _page_step(position, item["move"], moves)
@@ -290,13 +292,14 @@ def coverage_check(groups: DataFrame, documents: DataFrame) -> DataFrame:
         F.struct(F.col("low").alias("at"), F.col("group").alias("group"), F.col("page").alias("page")),
         F.struct((F.col("high") + 1).alias("at"), (-F.col("group")).alias("group"), (-F.col("page")).alias("page")),
     )
-    changes = (
+    changes = cut_lineage(
         ranges.unionByName(whole).select("doc_id", F.inline(ends)).groupBy("doc_id", "at").agg(F.sum("group").alias("groups"), F.sum("page").alias("pages"))
     )
-    placed = with_neighbours(changes, following=("at",), page="at")
+    placed = with_neighbours(changes, following=("at",), page="at", held=True)
     # Neither running sum is ever negative, so one sum carries both: documents above 32 bits of groups.
     both = F.shiftleft("pages", 32) + F.col("groups")
-    placed = running_total(placed, ["doc_id"], ["at"], both, "before").withColumn("now", F.col("before") + both)
+    short = in_first_block(changes, F.col("at"))
+    placed = running_total(placed, ["doc_id"], ["at"], both, "before", short=short).withColumn("now", F.col("before") + both)
     covered, expected = F.col("now").bitwiseAND(F.lit(2**32 - 1)), F.shiftright("now", 32)
     violation = (
         F.when((covered == 0) & (expected > 0), "missing").when(covered > 1, "overlap").when((covered == 1) & (expected == 0), "extra")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import text as T
 from pagewise.functions import values as V
-from pagewise.operators.ordered import position_in_key
+from pagewise.operators.ordered import in_first_block, position_in_key
 from pagewise.session import cut_lineage
 
 
@@ -16,10 +16,11 @@ def filenames(groups: DataFrame) -> DataFrame:
 
     Counting copies passes twice over the groups, so they are stored first; they are small beside the text.
     """
-    named = cut_lineage(groups).withColumn("type_slug", T.slugify(F.col("doc_type"))).withColumn(
+    groups = cut_lineage(groups)
+    named = groups.withColumn("type_slug", T.slugify(F.col("doc_type"))).withColumn(
         "name_key", F.coalesce(F.nullif(F.col("supplier"), F.lit("")), F.lit("none"))
     )
-    counted = position_in_key(named, ["doc_id", "type_slug", "name_key"], "group_seq", "copy")
+    counted = position_in_key(named, ["doc_id", "type_slug", "name_key"], "group_seq", "copy", short=in_first_block(groups, F.col("group_seq")))
     has_supplier = F.col("supplier").isNotNull() & (F.col("supplier") != "")
     return counted.withColumn(
         "filename",

@@ -46,6 +46,11 @@ def block_of(position: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(position, bits)
 
 
+def in_first_block(held: DataFrame, position: Column, bits: int = BLOCK_BITS) -> bool:
+    """Whether all positions lie in block 0, so that nothing is carried between blocks. ``held`` is stored and read once."""
+    return held.filter(block_of(position, bits) != 0).isEmpty()
+
+
 def explode_range(df: DataFrame, start: Column, end: Column, out: str, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per number from ``start`` to ``end``, block by block, so no array is longer than a block.
 
@@ -71,13 +76,18 @@ def with_neighbours(
     """Add ``prev_*`` and ``next_*`` columns of the pages before and after, by order, in the same document.
 
     Neighbours inside a block come from a window; a block's first and last page meet the nearest block that has
-    pages, so gaps between page numbers change nothing, whatever the block size. ``held`` says that ``df`` is stored
-    and may be read twice.
+    pages, so gaps between page numbers change nothing, whatever the block size. Without later blocks the window is
+    all. ``held`` says that ``df`` is stored and may be read more than once.
     """
     if not held:
         df = cut_lineage(df)
     window = Window.partitionBy(doc, "block").orderBy(page)
     placed = df.withColumn("block", block_of(F.col(page) - 1, bits))
+    if in_first_block(df, F.col(page) - 1, bits):
+        near = {f"prev_{name}": F.lag(name).over(window) for name in previous}
+        near |= {f"next_{name}": F.lead(name).over(window) for name in following}
+        met = placed.withColumns(near)
+        return met if keep_block else met.drop("block")
     ends = placed.filter(F.col(page).isNotNull()).groupBy(doc, "block").agg(
         F.max_by(F.struct(F.lit(1).alias("there"), *previous), page).alias("tail"),
         F.min_by(F.struct(F.lit(1).alias("there"), *following), page).alias("head"),
@@ -112,18 +122,22 @@ def running_total(
     value: Column,
     out: str,
     block: Column | None = None,
+    short: bool = False,
 ) -> DataFrame:
     """Sum of ``value`` over the rows before the current one, per key, in the given order.
 
     ``block`` must not decrease along the order and must hold a bounded number of rows per key; by default
     it is cut from the first order column, an INT position. Only keys that reach past their first block
-    get a base to add, so for ordinary keys this is one shuffle on (key, block).
+    get a base to add, so for ordinary keys this is one shuffle on (key, block). ``short`` says that no key
+    reaches past it (``in_first_block``): then ``df`` is read once.
     """
     keys = list(keys)
     blocked = df.withColumn("_block", block_of(F.col(order[0])) if block is None else block)
     blocked = blocked.withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    if short:
+        return local.withColumn(out, F.col("_inside")).drop("_block", "_value", "_inside")
 
     carry = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -144,8 +158,8 @@ def running_total(
 
 
 def position_in_key(
-    df: DataFrame, keys: Sequence[str], position: str, out: str, block: Column | None = None
+    df: DataFrame, keys: Sequence[str], position: str, out: str, block: Column | None = None, short: bool = False
 ) -> DataFrame:
     """1-based row number per key in order of an INT ``position``."""
-    ranked = running_total(df, keys, [position], F.lit(1), out, block)
+    ranked = running_total(df, keys, [position], F.lit(1), out, block, short)
     return ranked.withColumn(out, (F.col(out) + 1).cast("int"))

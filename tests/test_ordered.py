@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewise.operators import ledger as L
+from pagewise.operators import ordered
 from pagewise.operators.budget import spend_in_order
 from pagewise.operators.ordered import block_of, position_in_key, running_total
 
@@ -99,3 +100,23 @@ def test_scan_takes_items_piece_by_piece(spark):
     for piece in (1, 4, 64):
         got = frame.select("n", scan(F.col("items"), F.lit(7), lambda total, item: total + item, piece).alias("trail")).collect()
         assert {r.n: r.trail for r in got} == {n: [7 + sum(range(k)) for k in range(n + 1)] for n, _ in rows}
+
+
+def test_short_keys_carry_nothing_between_blocks(spark):
+    """Where no key reaches a second block, stored rows are read once: no table of block ends or totals is joined."""
+    rows = [(d, p, "nfe" if p % 3 else "recibo_pagador") for d in range(6) for p in range(1, 9)]
+    pages = ordered.cut_lineage(spark.createDataFrame(rows, "doc_id long, page_number int, doc_type string"))
+    assert ordered.in_first_block(pages, F.col("page_number") - 1)
+    assert not ordered.in_first_block(pages, F.col("page_number") - 1, 2)
+
+    def near(bits):
+        return ordered.with_neighbours(pages, previous=("doc_type",), following=("page_number",), bits=bits, held=True)
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins(near(12)) == 0 < joins(near(2))
+    assert sorted(near(12).collect()) == sorted(near(2).collect())
+    ranked = [ordered.position_in_key(pages, ["doc_id", "doc_type"], "page_number", "at", short=short) for short in (True, False)]
+    assert joins(ranked[0]) == 0 < joins(ranked[1])
+    assert sorted(ranked[0].collect()) == sorted(ranked[1].collect())
